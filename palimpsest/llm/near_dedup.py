@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ K = 128
 #: At a similarity of 0.75 each of the K least values of a union is common with probability 0.75. SLACK
 #: standard deviations below the mean, a true pair falls with a probability of about 1e-9.
 SLACK = 6.0
+#: Lists of at most this many documents give their pairs across components; longer ones are compared in place.
+LIST = 64
+HEAD = 16
 NUM, DEN = 3, 4
 
 
@@ -113,17 +117,48 @@ def _lists(reps: DataFrame) -> DataFrame:
     per = Window.partitionBy("doc_id")
     at = F.row_number().over(per.orderBy("f", "v"))
     shared = shared.withColumn("at", at).withColumn("common", F.count("*").over(per)).filter("at + size - common <= places")
+    shared = shared.withColumn("rank", F.col("common") * K / F.col("size"))
     kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
-    return shared.select(F.explode(F.array(kind, kind + 1)).alias("kind"), "v", "doc_id", "n").select(F.xxhash64("v", "kind").alias("v"), "doc_id", "n")
+    return shared.select(F.explode(F.array(kind, kind + 1)).alias("kind"), "v", "doc_id", "n", "rank").select(F.xxhash64("v", "kind").alias("v"), "doc_id", "n", "rank")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, set): the whole shingle set of each document, ascending."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offs in texts(batch.column(1)):
+                key, at = shingles(buf, offs)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=hi - lo)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))], ["doc_id", "set"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>")
+
+
+def _dense_links(docs: DataFrame, dense: DataFrame) -> DataFrame:
+    """Links across components among documents of long lists, dense (doc_id, c).
+
+    These share most values with many others, so rarity does not part them. They meet under the HEAD least hashes
+    of their whole sets (a similar pair shares none with a probability of 0.25 to the power HEAD) and are compared
+    exactly there, once a pair, under the least hash they share; only confirmed links leave the join.
+    """
+    there = checked_join(docs, dense.select("doc_id"), "doc_id", "left_semi", 16)
+    full = _sets(there).join(dense, "doc_id").withColumn("head", F.slice("set", 1, HEAD))
+    flat = stage(full.select("doc_id", "c", "head", "set", F.explode("head").alias("v")), "dense")
+    x, y = flat.alias("x"), flat.alias("y")
+    meet = "x.v = y.v and x.doc_id < y.doc_id and x.c <> y.c and least(size(x.set), size(y.set)) * 4 >= greatest(size(x.set), size(y.set)) * 3"
+    once = "array_min(array_intersect(x.head, y.head)) = x.v"
+    near = "size(array_intersect(x.set, y.set)) * 7 >= (size(x.set) + size(y.set)) * 3"
+    return x.join(y.hint("merge"), F.expr(f"{meet} and {once} and {near}")).select(F.expr("x.doc_id as a"), F.expr("y.doc_id as b"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs (doc_id, text).
 
     Documents with equal shingle sets are one class, represented by its smallest doc_id; only representatives are
-    compared. In each inverted list all members meet the list's smallest id first. Where a list then still spans
-    several components, its members are paired across them, so no link between components is left untried. Each
-    pair passes the union-sketch estimate, then an exact comparison of the full sets. Null and empty texts have no
+    compared. In each inverted list all members first meet its most central one, which shares most of its values
+    with others. Where a list then still spans several components, its members meet across them, so no link between
+    components is left untried. Each pair passes the union-sketch estimate, then an exact comparison of full sets. Null and empty texts have no
     shingles and link with nothing; repeated rows fall in one class; a null doc_id forms its own component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -133,9 +168,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     copies = member.filter("doc_id <> rep").select("doc_id").distinct()
     reps = checked_join(sketch.filter("n > 0 and doc_id is not null").select("doc_id", "n", "sketch"), copies, "doc_id", "left_anti", 16)
     lists = stage(_lists(reps), "lists")
-    lead = lists.groupBy("v").agg(F.min("doc_id").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    met = join_groups(lists, lead, "v", "size", F.col("doc_id"), max(lists.count(), 1)).filter("lead < doc_id")
-    tried = stage(met.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "tried")
+    lead = lists.groupBy("v").agg(F.max_by("doc_id", F.struct("rank", (-F.col("doc_id")).alias("k"))).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    met = join_groups(lists.select("v", "doc_id"), lead, "v", "size", F.col("doc_id"), max(lists.count(), 1)).filter("lead <> doc_id")
+    tried = stage(met.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct(), "tried")
     links = [_linked(tried, reps, docs)]
     comp = stage(components(links[0]), "comp")
     named = lists.join(comp, lists.doc_id == comp.id, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
@@ -143,12 +178,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     split = named.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
     rest = join_groups(named, split, "v", "size", F.col("doc_id"), max(lists.count(), 1)).filter("lo is not null").select("v", "doc_id", "n", "c", "size")
     rest = stage(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    few = rest.filter(F.col("size") <= LIST)
+    x, y = few.alias("x"), few.alias("y")
     more = x.join(y, F.expr("x.v = y.v and x.c <> y.c and x.doc_id < y.doc_id and least(x.n, y.n) * 4 >= greatest(x.n, y.n) * 3"))
     more = more.select(F.expr("x.doc_id as a"), F.expr("y.doc_id as b")).distinct().join(tried, ["a", "b"], "left_anti")
     if not rest.isEmpty():
         links.append(_linked(stage(more, "more"), reps, docs))
-        comp = stage(components(links[0].union(links[1])), "comp")
+        dense = rest.filter(F.col("size") > LIST).select("doc_id", "c").distinct()
+        links.append(stage(_dense_links(docs, stage(dense, "dense")), "links"))
+        comp = stage(components(reduce(DataFrame.union, links)), "comp")
     unstage(lists, tried, named, rest)
     far = comp.filter("id <> component").withColumnRenamed("id", "rep")
     out = checked_join(member, far, "rep", "left", 32)
