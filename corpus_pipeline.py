@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.decontaminate import keep_clean
 from palimpsest.llm.exact_dedup import keep_exact
+from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.near_dedup import keep_near
+from palimpsest.llm.quality import keep_quality
 from palimpsest.llm.storage import stage
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return keep_exact(docs)
@@ -19,8 +27,25 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_near(docs)
 
 
-STAGES = [("exact dedup", exact), ("near dedup", near)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents get their place in the mix of sources."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+]
 
+#: Trained models and schedules have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
