@@ -20,10 +20,10 @@ LENGTH, GRAM = 400, 64
 PLACES = LENGTH - GRAM + 1
 HALF = PLACES // 2
 #: Bytes of a symbol. A string of LENGTH bytes is LENGTH/WORD symbols in one of WORD phases.
-WORD = 50
+WORD = 100
 DEPTH = LENGTH // WORD
 #: Bytes of pieces that one construction takes, windows of a narrowed piece, and pieces beyond which a key is narrowed.
-BUCKET, NARROW, MANY = 2 << 20, 16, 2000
+BUCKET, NARROW, MANY = 512 << 10, 16, 2000
 CHUNK = 1 << 20
 
 
@@ -110,13 +110,13 @@ def _bodies(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text", "spots").mapInArrow(run, "row long, key long, at long, windows short, ahead short, digest binary, body binary")
 
 
-def _narrowed(pieces: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Distinct pieces under the key they are sorted by; those of crowded keys in runs of NARROW windows.
+def _narrowed(pieces: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct pieces of keys (key, n) under the key they are sorted by; those of crowded keys in runs of NARROW windows.
 
     A run's windows lie at the same places from the anchor in all pieces and share LENGTH - NARROW + 1 bytes, whose
     hash is its key; a crowd of variants of one passage is so dealt out by what they have in common.
     """
-    marked = checked_join(pieces, crowded.withColumn("crowd", F.lit(True)), "key", "left", 24)
+    marked = checked_join(pieces, keys.select("key", (F.col("n") > MANY).alias("crowd")), "key", "inner", 24)
 
     def run(batches):
         for batch in batches:
@@ -137,7 +137,7 @@ def _narrowed(pieces: DataFrame, crowded: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["sort", "key", "digest", "w", "windows", "body"])
 
-    return marked.select("key", "windows", "ahead", "digest", "body", F.coalesce("crowd", F.lit(False)).alias("crowd")).mapInArrow(run, "sort long, key long, digest binary, w int, windows int, body binary")
+    return marked.select("key", "windows", "ahead", "digest", "body", "crowd").mapInArrow(run, "sort long, key long, digest binary, w int, windows int, body binary")
 
 
 def transform(bodies: list[bytes], windows: list[int], folder: str) -> list[np.ndarray]:
@@ -257,9 +257,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     Removes every byte covered by a LENGTH-byte string that also starts elsewhere in any text, judged on the input.
     Texts are whole, as UTF-8; null is empty; strings do not cross texts. Windows are dealt out by the anchors they
-    contain (see anchored); only pieces whose key occurs twice can repeat. Equal pieces are one with a count. The
-    distinct pieces of a key are sorted together by transform(). Repeated rows repeat each other and lose all that
-    is long enough; a null doc_id is a doc_id like others.
+    contain (see anchored); only pieces whose key occurs twice can repeat. Equal pieces are one with a count;
+    one that occurs twice repeats whole. The distinct pieces of a key that has several are sorted by transform(). Repeated rows repeat each other and lose all that is
+    long enough; a null doc_id is a doc_id like others.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = stage(_pieces(rows), "pieces")
@@ -273,10 +273,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     unstage(spots)
     distinct = bodies.groupBy("key", "digest").agg(F.count("*").alias("size"), F.first("windows").alias("windows"), F.first("ahead").alias("ahead"), F.first("body").alias("body"))
     distinct = stage(distinct, "distinct")
-    crowded = distinct.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select("key")
-    amount = distinct.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+    keys = distinct.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes")).filter("n > 1")
+    keys = stage(keys, "keys")
+    amount = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     parts = max(1, -(-amount // (8 * BUCKET)))
-    sort = _narrowed(distinct, crowded).repartition(int(parts), "sort").sortWithinPartitions("sort")
+    sort = _narrowed(distinct, keys).repartition(int(parts), "sort").sortWithinPartitions("sort")
     alone = _repeats(sort)
     copies = distinct.filter("size > 1").select("key", "digest", F.lit(0).alias("w"), F.col("windows").cast("int").alias("windows"))
     runs = alone.union(copies).groupBy("key", "digest").agg(F.collect_list(F.struct("w", "windows")).alias("runs"))
