@@ -284,21 +284,25 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     runs = stage(runs.join(distinct.select("key", "digest", "size"), ["key", "digest"]).select(F.concat(F.col("key").cast("string").cast("binary"), "digest").alias("piece"), "size", "runs"), "runs")
     seen = bodies.select("row", "at", F.concat(F.col("key").cast("string").cast("binary"), "digest").alias("piece"))
     hit = join_groups(seen, runs, "piece", "size", F.struct("row", "at"), total).filter("size is not null")
-    hit = hit.select("row", F.struct("at", "runs").alias("r")).groupBy("row").agg(F.collect_list("r").alias("hits"))
+    begin = F.col("at") + F.col("r.w")
+    hit = hit.select("row", "at", F.explode("runs").alias("r")).select("row", F.struct(begin.alias("a"), (begin + F.col("r.windows") + F.lit(LENGTH - 1)).alias("b")).alias("s"))
+    hit = hit.groupBy("row").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
     def merge(batches):
         for batch in batches:
-            out = []
-            for hits in batch.column(1).to_pylist():
-                spans_ = sorted({(h["at"] + r["w"], h["at"] + r["w"] + r["windows"] + LENGTH - 1) for h in hits for r in h["runs"]})
-                joined: list[list[int]] = []
-                for a, b in spans_:
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], b)
-                    else:
-                        joined.append([a, b])
-                out.append([x for ab in joined for x in ab])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["row", "cuts"])
+            col = batch.column(1)
+            n = np.diff(col.offsets.to_numpy())
+            flat = col.flatten()
+            who = np.repeat(np.arange(len(n)), n)
+            a, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            reach = np.maximum.accumulate(b + (who << 40)) - (who << 40)
+            new = np.ones(len(a), bool)
+            new[1:] = (who[1:] != who[:-1]) | (a[1:] > reach[:-1])
+            go = np.flatnonzero(new)
+            stop = np.append(go[1:], len(a)) - 1
+            pairs = np.stack((a[go], reach[stop]), axis=1).ravel()
+            ends = np.concatenate(([0], np.cumsum(2 * np.bincount(who[go], minlength=len(n))))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs))], ["row", "cuts"])
 
     cuts = stage(hit.mapInArrow(merge, "row long, cuts array<long>"), "cuts")
     unstage(bodies, distinct, runs)
