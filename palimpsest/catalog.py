@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.functions import text as X
 from palimpsest.operators import chunking, diff, evolution, graph, retrieval, router, scan
+from palimpsest.plans.spread import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -298,7 +299,7 @@ def _ranks(spark, sf_dir):
     # Items are found in documents by their first five words, so the pairs come from an equi-join, then contains.
     words = lambda: F.split(F.col("text"), r"\s+")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), F.array_join(F.slice(words(), 2, 3), " ").alias("g"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", words().alias("w"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", words().alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice("w", i, 3), " "))
     d = d.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("g"))
     positive = d.join(b, "g").filter(F.contains(F.col("text"), F.col("item"))).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
@@ -389,7 +390,7 @@ p AS (SELECT doc_id, unnest(t) AS name, generate_subscripts(t, 1)::BIGINT AS lin
 a AS (SELECT doc_id, min(line) AS a FROM p WHERE name = 'the' GROUP BY 1)
 SELECT a.doc_id, a.a AS first_at, min(p.line) AS second_at FROM a JOIN p ON p.doc_id = a.doc_id AND p.name = 'that' AND p.line > a.a GROUP BY 1, 2""")
 def call_order(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"), F.posexplode(X.tokens(F.col("text"))).alias("p", "name"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("version_id"), F.posexplode(X.tokens(F.col("text"))).alias("p", "name"))
     edges = d.select("version_id", "name", (F.col("p") + 1).cast("long").alias("line"), F.lit(0).alias("column"))
     return graph.call_order(edges, "the", "that").select(F.col("version_id").alias("doc_id"), F.col("a.line").alias("first_at"), F.col("b.line").alias("second_at"))
 

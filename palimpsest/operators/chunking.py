@@ -62,7 +62,7 @@ _JS_ENTITY = re.compile(
     r"|(?:^|[{};\n])\s*(?:static\s+|async\s+|get\s+|set\s+)*(?P<method>[\w$]+)\s*\([^)]*\)\s*\{"
 )
 _JS_CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(")
-_JS_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "new", "super", "do", "else", "with", "await"}
+_JS_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "new", "super", "do", "else", "with", "await", "async"}
 
 
 def _blanked(source: str) -> str:
@@ -102,10 +102,11 @@ def javascript_chunks(source: str) -> list[tuple]:
 def javascript_calls(source: str) -> list[tuple[str, int, int]]:
     """(name, line, byte column) of each call, from 1."""
     code = _blanked(source)
+    defined = {m.start("method") for m in _JS_ENTITY.finditer(code) if m["method"]}
     out = []
     for m in _JS_CALL.finditer(code):
         before = code[: m.start()].rstrip()
-        if m[1] in _JS_WORDS or before.endswith("function"):
+        if m[1] in _JS_WORDS or m.start() in defined or before.endswith("function"):
             continue
         bol = code.rfind("\n", 0, m.start()) + 1
         out.append((m[1], code.count("\n", 0, m.start()) + 1, len(source[bol : m.start()].encode()) + 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.functions.text import dot, tokens
+from palimpsest.plans.spread import spread
 
 #: Rows of a query block that is broadcast against the corpus; more queries are scored block by block.
 QUERY_BLOCK = 4096
@@ -38,7 +39,7 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float
 
     weight = ln(1 + (N - df + 0.5) / (df + 0.5)) * tf / (tf + k1 (1 - b + b dl / avgdl)), tokens as functions.tokens.
     """
-    docs = corpus.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
+    docs = spread(corpus.select("doc_id", "text")).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
     n, avg = docs.agg(F.count("*"), F.avg("dl")).first()
     asked = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = asked.select("term").distinct()
