@@ -18,7 +18,7 @@ STATES, ROUNDS = 8, 3
 #: Words that have a class of their own; all other words share ENDINGS classes by their last bytes.
 OWN, ENDINGS = 4000, 1024
 #: Words whose counts every task holds (16 bytes each); counts of all others are joined.
-HEAD = 1_500_000
+HEAD = 300_000
 #: Tokens of the sample that breaks the symmetry of the states, and of a training piece.
 FIRST, PIECE = 400_000, 256
 FOLDS, HELD = 7, 2
@@ -188,14 +188,21 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
                 seq[np.arange(len(h)) + doc] = k
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(np.concatenate(([0], np.cumsum(2 * (size + 1)))).astype(np.int64)), pa.py_buffer(seq)]).cast(pa.binary())
                 far = np.flatnonzero(~seen)
-                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[far], np.arange(rows + 1)).astype(np.int32)), pa.array(h[far]))
+                far = far[np.lexsort((h[far], doc[far]))]
+                new = np.ones(len(far), bool)
+                new[1:] = (h[far][1:] != h[far][:-1]) | (doc[far][1:] != doc[far][:-1])
+                go = np.flatnonzero(new)
+                tf = np.diff(np.append(go, len(far)))
+                far = far[go]
+                pairs = pa.StructArray.from_arrays([pa.array(h[far]), pa.array(tf.astype(np.int32))], ["h", "tf"])
+                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[far], np.arange(rows + 1)).astype(np.int32)), pairs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uid + np.arange(rows)), batch.column(0).slice(lo, rows), batch.column(2).slice(lo, rows), raw, pa.array(size + 1), pa.array(np.bincount(doc[seen], minlength=rows)), pa.array(head), pa.array(within), tails],
                     ["uid", "doc_id", "held", "seq", "n", "known", "head", "within", "tail"],
                 )
                 uid += rows
 
-    coded = stage(docs.select("doc_id", "text", "held").mapInArrow(encode, "uid long, doc_id long, held boolean, seq binary, n long, known long, head double, within double, tail array<long>"), "coded")
+    coded = stage(docs.select("doc_id", "text", "held").mapInArrow(encode, "uid long, doc_id long, held boolean, seq binary, n long, known long, head double, within double, tail array<struct<h:long,tf:int>>"), "coded")
     train = coded.filter("not held").select("seq", "n")
     few = max(1, int(ends * min(1.0, FIRST / max(n, 1))))
     picked = coded.filter("not held").select("uid", "seq").orderBy(F.xxhash64("uid")).limit(few).toArrow().column("seq").to_pylist()
@@ -221,7 +228,7 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 2, 3, 4, 5, 6, 7)], pa.array(got)], ["uid", "doc_id", "held", "n", "known", "head", "within", "path"])
 
     path = coded.select("uid", "seq", "doc_id", "held", "n", "known", "head", "within").mapInArrow(score, "uid long, doc_id long, held boolean, n long, known long, head double, within double, path double")
-    rare = coded.select("uid", F.explode("tail").alias("h")).groupBy("uid", "h").agg(F.count("*").alias("tf"))
+    rare = coded.select("uid", F.inline("tail"))
     rare = rare.join(counts.select("h", "c"), "h", "left").groupBy("uid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("far"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more"))
     out = path.join(rare, "uid", "left")
     far, more = F.coalesce("far", F.lit(0.0)), F.coalesce("more", F.lit(0))
