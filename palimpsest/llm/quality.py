@@ -11,7 +11,7 @@ from palimpsest.llm.storage import checked_join
 
 BITS = 15
 #: Labelled rows that a fit reads at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 FOLDS, TAKE = 5, 0.3
 
 
@@ -29,7 +29,7 @@ def hinge(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = 1.0,
     x = []
     for f in rows:
         v = np.append(r[f], 1.0)
-        x.append((np.append(f, len(r)), v / max(np.sqrt(v @ v), 1e-9)))
+        x.append((np.append(f, f.dtype.type(len(r))), (v / max(np.sqrt(v @ v), 1e-9)).astype(np.float32)))
     a, rng = np.zeros(len(y)), np.random.default_rng(seed)
     cap = np.where(y > 0, c * len(y) / (2 * max((y > 0).sum(), 1)), c * len(y) / (2 * max((y < 0).sum(), 1)))
     for _ in range(epochs):
