@@ -11,7 +11,7 @@ from palimpsest.llm.storage import checked_join
 
 BITS = 15
 #: Labelled rows that a fit reads at most.
-SAMPLE = 8_000
+SAMPLE = 12_000
 FOLDS, TAKE = 5, 0.3
 
 
