@@ -50,25 +50,30 @@ def word_grams(buf: np.ndarray, offs: np.ndarray, bits: int = 20, heads: tuple[i
     return (key >> U(bits)).astype(np.int64), (key & U((1 << bits) - 1)).astype(np.int64)
 
 
-def sample(docs: DataFrame, rows: DataFrame, most: int, grams: Callable, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and label of at most `most` of rows (doc_id, y), those with the least hash of doc_id.
+def sample(docs: DataFrame, rows: DataFrame, most: int, grams: Callable, seed: int, kind: type = np.int32) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features, as numbers of a kind, and label of at most `most` of rows (doc_id, y), those with the least hash of doc_id.
 
-    The driver holds `most` rows of at most as many features as the hash has values, whatever the size of docs.
+    The driver holds `most` rows of at most as many features as the hash has values, whatever the size of docs;
+    the arrays are views of what was received, in order of doc_id and label.
     """
     order = F.xxhash64("doc_id", F.lit(seed))
     picked = rows.orderBy(order, "doc_id", "y").limit(most)
+    width = np.dtype(kind).itemsize
 
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offs in texts(batch.column(1)):
                 at, f = grams(buf, offs)
-                ends = np.searchsorted(at, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(f.astype(np.int32)))], ["doc_id", "y", "f"])
-
-    got = checked_join(docs.select("doc_id", "text"), picked, "doc_id", "inner", 24).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>")
-    table = got.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    lists = table.column("f").combine_chunks()
-    return [np.asarray(lists[i].values) if lists[i].values is not None else np.zeros(0, np.int32) for i in range(len(lists))], table.column("y").to_numpy()
+                ends = (np.searchsorted(at, np.arange(hi - lo + 1)) * width).astype(np.int32)
+                raw = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(f.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), raw], ["doc_id", "y", "f"])
+
+    got = checked_join(docs.select("doc_id", "text"), picked, "doc_id", "inner", 24).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f binary")
+    table = got.toArrow()
+    y, ids = table.column("y").to_numpy(), table.column("doc_id").to_numpy()
+    raw = [x.as_buffer() for chunk in table.column("f").chunks for x in chunk]
+    first = np.lexsort((y, ids))
+    return [np.frombuffer(raw[i], kind) if raw[i].size else np.zeros(0, kind) for i in first], y[first]
 
 
 def scores(docs: DataFrame, grams: Callable, score: Callable[[Rows, int], np.ndarray]) -> DataFrame:

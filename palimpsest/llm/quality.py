@@ -25,26 +25,25 @@ def ratios(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float = 1.0)
 
 def hinge(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
     """Weights (the last one is the bias) of the linear hinge-loss model over r-scaled indicators of unit length."""
-    w = np.zeros(len(r) + 1)
-    x = []
-    for f in rows:
-        v = np.append(r[f], 1.0)
-        x.append((np.append(f, f.dtype.type(len(r))), (v / max(np.sqrt(v @ v), 1e-9)).astype(np.float32)))
+    w, bias = np.zeros(len(r)), 0.0
+    unit = np.array([1 / np.sqrt(r[f] @ r[f] + 1) for f in rows])
     a, rng = np.zeros(len(y)), np.random.default_rng(seed)
     cap = np.where(y > 0, c * len(y) / (2 * max((y > 0).sum(), 1)), c * len(y) / (2 * max((y < 0).sum(), 1)))
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)):
-            f, v = x[i]
-            g = y[i] * (w[f] @ v) - 1
+            f, v = rows[i], r[rows[i]]
+            g = y[i] * (w[f] @ v + bias) * unit[i] - 1
             new = min(max(a[i] - g, 0.0), cap[i])
             if new != a[i]:
-                w[f] += (new - a[i]) * y[i] * v
+                step = (new - a[i]) * y[i] * unit[i]
+                w[f] += step * v
+                bias += step
                 most = max(most, abs(new - a[i]))
                 a[i] = new
         if most < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 def margins(rows: tuple[np.ndarray, np.ndarray], n: int, w: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -92,7 +91,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Da
     Null and empty texts have no n-grams and get the score of the bias. Repeated rows are scored alike.
     """
     known = labels.filter(remainder(FOLDS) != 0).select("doc_id", F.col("quality").cast("int").alias("y")).dropna()
-    rows, y = sample(docs, known, most, byte_grams, 5)
+    rows, y = sample(docs, known, most, byte_grams, 5, np.uint16)
     r, w, slope, offset = train(rows, y)
 
     def score(found, n):
