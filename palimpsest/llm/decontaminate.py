@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytesops import LOWER, prefix, spans, texts, words
-from palimpsest.llm.storage import checked_join
+from palimpsest.llm.storage import checked_join, stage
 
 K1, B = 1.2, 0.75
 #: Items of a block of the index, and of an index: a larger benchmark is searched index by index.
@@ -223,7 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item, with their columns."""
-    gone = leaks(docs, benchmark).select("doc_id").distinct()
+    gone = stage(leaks(docs, benchmark).select("doc_id").distinct(), "gone")
     return checked_join(docs, gone, "doc_id", "left_anti", 16)
 
 

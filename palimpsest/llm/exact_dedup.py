@@ -45,8 +45,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def keep_exact(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    gone = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return checked_join(docs, gone.withColumnRenamed("_gone", "doc_id"), "doc_id", "left_anti", 16)
+    gone = stage(exact_groups(docs).filter("not kept").select("doc_id").distinct(), "gone")
+    return checked_join(docs, gone, "doc_id", "left_anti", 16)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -196,7 +196,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def keep_near(docs: DataFrame) -> DataFrame:
     """The rows of docs of which one stays for each group, with their columns."""
-    gone = near_groups(docs).filter("not kept").select("doc_id").distinct()
+    gone = stage(near_groups(docs).filter("not kept").select("doc_id").distinct(), "gone")
     return checked_join(docs, gone, "doc_id", "left_anti", 16)
 
 

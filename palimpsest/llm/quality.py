@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.features import byte_grams, remainder, sample, scores
-from palimpsest.llm.storage import checked_join
+from palimpsest.llm.storage import checked_join, stage
 
 BITS = 15
 #: Labelled rows that a fit reads at most.
@@ -103,7 +103,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Da
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with their columns."""
-    gone = quality_scores(docs, labels).filter("predicted = 0").select("doc_id").distinct()
+    gone = stage(quality_scores(docs, labels).filter("predicted = 0").select("doc_id").distinct(), "gone")
     return checked_join(docs, gone, "doc_id", "left_anti", 16)
 
 
