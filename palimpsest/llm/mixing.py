@@ -97,10 +97,11 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
     of its rows. All rows stay: sources that run out leave their share to the others. A null source is a source of
     its own; a null doc_id sorts by the MD5 of the empty text; repeated rows are rows. The driver holds one number
     a source and the schedule of one period a phase; ranks are found by buckets of hashes, so no source meets in
-    one task.
+    one task. Columns of docs keep their values whatever their names, but for the three added here, which are replaced.
     """
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = docs.withColumn("_h", h)
+    docs = docs.drop("mix_block", "mix_slot", "mix_position")
+    keyed = docs.select(F.struct("*").alias("_row"), "source", "doc_id", h.alias("_h"))
     light = keyed.select("source", F.substring("_h", 1, 4).alias("_p"))
     per = stage(light.groupBy("source", "_p").agg(F.count("*").alias("n")), "prefixes")
     counts = {r.source: r.n for r in per.groupBy("source").agg(F.sum("n").alias("n")).collect()}
@@ -123,7 +124,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
     inner = F.broadcast(table.select(F.col("_s").alias("_s2"), F.col("_at").alias("_at2"), "_i", "_t"))
     placed = placed.join(inner, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_at") == F.col("_at2")) & (F.col("_k") == F.col("_i")))
     slot = F.col("_at") + F.col("_turn") * F.col("_period") + F.col("_t")
-    return placed.withColumn("mix_slot", slot).withColumn("mix_position", slot * block + F.col("_rank") % block).select(*docs.columns, "mix_block", "mix_slot", "mix_position")
+    return placed.withColumn("mix_slot", slot).withColumn("mix_position", slot * block + F.col("_rank") % block).select("_row.*", "mix_block", "mix_slot", "mix_position")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -201,6 +201,14 @@ def test_mix_sources(docs, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mix_sources_keeps_clashing_columns(docs):
+    odd = docs.select("*", docs.text.alias("_h"), docs.lang.alias("_rank"), docs.n_chars.alias("_at"), docs.n_chars.alias("mix_slot"))
+    got = mixing.mix_sources(odd, block=4, period=16)
+    assert got.columns == [*docs.columns, "_h", "_rank", "_at", "mix_block", "mix_slot", "mix_position"]
+    found = got.collect()
+    assert len(found) == len(rows()) and all((r._h, r._rank, r._at) == (r.text, r.lang, r.n_chars) for r in found)
+
+
 def test_warc_round_trip(spark):
     warc.register(spark)
     big = "<p>" + "x" * 1200
