@@ -43,7 +43,7 @@ def content_dedup(spark, sf_dir):
 
 
 @query(r"""WITH p AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents)
-SELECT doc_id, CASE WHEN length(t) > 240 THEN rtrim(substring(t, 1, 240)) || '...' ELSE t END AS preview FROM p""")
+SELECT doc_id, CASE WHEN length(t) > 240 THEN substring(t, 1, 240) || '...' ELSE t END AS preview FROM p""")
 def preview(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
 
@@ -192,14 +192,14 @@ def fallback_windows(spark, sf_dir):
 # Dense retrieval
 
 
-def _dense(spark, sf_dir, most=20):
+def _dense(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter(F.col("vec_id") < most).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     return retrieval.dense_scores(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv")))
 
 
 _DENSE = """WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, q.label AS ql, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
-FROM embeddings q, embeddings d WHERE q.vec_id < 20),
+FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM s)
 """
 
@@ -229,7 +229,9 @@ def dense_label_eval(spark, sf_dir):
     return m.agg(F.round(F.avg(F.when(F.col("first") <= 10, 1.0).otherwise(0.0)), 5).alias("hit"), F.round(F.avg(F.col("hits") / 10.0), 5).alias("precision"), F.round(F.avg(F.when(F.col("first") <= 10, 1.0 / F.col("first")).otherwise(0.0)), 5).alias("mrr"))
 
 
-@query(_DENSE + "SELECT query_id, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 6) AS margin FROM r GROUP BY 1 ORDER BY 2, 1 LIMIT 5")
+@query(_DENSE + """, m AS (SELECT query_id, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 6) AS margin FROM r GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY margin, query_id) AS k, count(*) OVER () AS n FROM m)
+SELECT query_id, margin FROM o WHERE k <= ceil(n * 0.25::DOUBLE)""")
 def ambiguous_queries(spark, sf_dir):
     return retrieval.ambiguous(retrieval.top_k(_dense(spark, sf_dir), 10), 0.25)
 
@@ -322,14 +324,14 @@ def rank_buckets(spark, sf_dir):
 
 
 def _chain(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 60")
+    e = table(spark, sf_dir, "events")
     top = table(spark, sf_dir, "events").agg(F.max("event_id").alias("top"))
     e = e.crossJoin(F.broadcast(top)).withColumn("ord", F.floor(F.col("event_id") / ((F.col("top") + 1) / F.lit(90.0))))
     e = e.groupBy(F.col("user_id").alias("key"), "ord").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("content"))
     return e, spark.range(90).select(F.col("id").alias("ord"))
 
 
-_CHAIN = """WITH e AS (SELECT user_id AS key, floor(event_id / (((SELECT max(event_id) FROM events) + 1) / 90.0::DOUBLE))::BIGINT AS ord, arg_max(event_type, (ts, event_id)) AS content FROM events WHERE user_id < 60 GROUP BY 1, 2),
+_CHAIN = """WITH e AS (SELECT user_id AS key, floor(event_id / (((SELECT max(event_id) FROM events) + 1) / 90.0::DOUBLE))::BIGINT AS ord, arg_max(event_type, (ts, event_id)) AS content FROM events GROUP BY 1, 2),
 g AS (SELECT k.key, o.ord, e.content FROM (SELECT DISTINCT key FROM e) k CROSS JOIN range(90) o(ord) LEFT JOIN e ON e.key = k.key AND e.ord = o.ord),
 l AS (SELECT *, lag(content) OVER (PARTITION BY key ORDER BY ord) AS old, count(content) OVER (PARTITION BY key, content ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM g),
 t AS (SELECT key, ord, old, content AS new, CASE WHEN content IS NULL AND old IS NOT NULL THEN 'deleted' WHEN content IS NULL THEN NULL WHEN old IS NULL AND seen > 0 THEN 'reintroduced' WHEN old IS NULL THEN 'added' WHEN old = content THEN 'unchanged' ELSE 'modified' END AS transition FROM l)
@@ -398,20 +400,20 @@ def call_order(spark, sf_dir):
 _TERMS = ["the", "of", "and"]
 
 
-@query(r"""WITH p AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS name FROM documents WHERE lang = 'en'),
+@query(r"""WITH p AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS name FROM documents),
 f AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['the', 'of', 'and'], name)) AS k FROM p WHERE name IN ('the', 'of', 'and'))
 SELECT doc_id, name FROM f WHERE k = 1 ORDER BY list_position(['the', 'of', 'and'], name), doc_id LIMIT 25""")
 def search_references(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     e = d.select(F.col("doc_id").alias("version_id"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("name"))
     e = e.select("version_id", "name", F.lit("references").alias("kind"), F.col("version_id").cast("string").alias("path"), F.lit("").alias("symbol"), F.lit(1).alias("start_line"))
     return graph.references(e, _TERMS, 25).select(F.col("version_id").alias("doc_id"), "name")
 
 
-@query("""WITH s AS (SELECT DISTINCT l_orderkey AS path, l_linenumber::VARCHAR AS symbol, (l_linenumber * 2)::BIGINT AS a, (l_linenumber * 2 + l_quantity)::BIGINT AS b FROM lineitem WHERE l_orderkey < 2000)
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS path, l_linenumber::VARCHAR AS symbol, (l_linenumber * 2)::BIGINT AS a, (l_linenumber * 2 + l_quantity)::BIGINT AS b FROM lineitem)
 SELECT s.path, s.symbol, arg_min(y.symbol, (y.b - y.a, y.a, y.symbol)) AS parent FROM s LEFT JOIN s y ON s.path = y.path AND y.a <= s.a AND y.b >= s.b AND y.b - y.a > s.b - s.a GROUP BY 1, 2, s.a, s.b""")
 def enclosing_parent(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000")
+    s = table(spark, sf_dir, "lineitem")
     s = s.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("string").alias("symbol"), (F.col("l_linenumber") * 2).cast("long").alias("start"), (F.col("l_linenumber") * 2 + F.col("l_quantity")).cast("long").alias("end")).distinct()
     return graph.enclosing(s).select("path", "symbol", "parent")
 
@@ -426,12 +428,12 @@ def router_classify(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT d.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id = 5),
-k AS (SELECT * FROM s ORDER BY score DESC, id DESC LIMIT 30), x AS (SELECT vec_id AS id FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 5) AND vec_id < 100),
+k AS (SELECT * FROM s ORDER BY score DESC, id DESC LIMIT 30), x AS (SELECT vec_id AS id FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 5)),
 m AS (SELECT id, (score - (SELECT min(score) FROM k)) / greatest((SELECT max(score) - min(score) FROM k), 1e-9::DOUBLE) AS s FROM k)
 SELECT coalesce(m.id, x.id) AS id, CASE WHEN x.id IS NULL THEN 'semantic' ELSE 'reference' END AS evidence, round(coalesce(m.s, 0) + CASE WHEN x.id IS NULL THEN 0 ELSE 0.4::DOUBLE END, 6) AS score FROM m FULL JOIN x ON m.id = x.id""")
 def fusion(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id = 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     s = retrieval.dense_scores(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv"))).orderBy(F.desc("score"), F.desc("doc_id")).limit(30)
-    same = e.join(F.broadcast(e.filter("vec_id = 5").select("label")), "label").filter("vec_id < 100")
+    same = e.join(F.broadcast(e.filter("vec_id = 5").select("label")), "label")
     return graph.fuse(s.select(F.col("doc_id").alias("id"), "score"), same.select(F.col("vec_id").alias("id"), F.lit("reference").alias("evidence")), "mixed")

@@ -33,7 +33,7 @@ def occurrence_key(path: Column, kind: Column, symbol: Column) -> Column:
 
 def preview(text: Column, most: int = 240) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("..."))).otherwise(flat)
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat)
 
 
 def line_count(text: Column) -> Column:

@@ -16,10 +16,15 @@ def edges_of_calls(chunks: DataFrame) -> DataFrame:
 
 
 def call_order(edges: DataFrame, first: str, second: str) -> DataFrame:
-    """The chunks where first comes before second: the earliest first, then the earliest second behind it."""
+    """The chunks where first comes before second: the earliest first, then the earliest second behind it.
+
+    Names are told apart by letters alone, not case; a call of a.b.c is one of c, b.c and a.b.c.
+    """
     place = F.struct("line", "column")
-    a = edges.filter(F.col("name") == first).groupBy("version_id").agg(F.min(place).alias("a"))
-    b = edges.filter(F.col("name") == second).select("version_id", place.alias("b"))
+    low = F.lower("name")
+    named = lambda term: (low == term.lower()) | F.endswith(low, F.lit(f".{term.lower()}"))
+    a = edges.filter(named(first)).groupBy("version_id").agg(F.min(place).alias("a"))
+    b = edges.filter(named(second)).select("version_id", place.alias("b"))
     return a.join(b, "version_id").filter("b > a").groupBy("version_id").agg(F.first("a").alias("a"), F.min("b").alias("b"))
 
 
