@@ -1,16 +1,18 @@
-"""Source files to chunks: Python by its syntax tree, JavaScript by a lexer, anything else in line windows."""
+"""Source files to chunks: Python by its syntax tree, JavaScript by its tokens, anything else in line windows."""
 
 from __future__ import annotations
 
 import ast
-import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.javascript import Source
+
 WINDOW, OVERLAP = 80, 12
-CHUNK = "path string, language string, chunk_type string, symbol string, parent_symbol string, start_line int, end_line int, text string"
+CHUNK = "path string, language string, chunk_type string, symbol string, parent_symbol string, start_line int, end_line int, text string, imports array<string>, exports array<string>, calls array<struct<name:string,raw:string,line:int,column:int>>, referenced_identifiers array<string>"
 
 
 def windows(docs: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
@@ -54,65 +56,6 @@ def python_chunks(source: str) -> list[tuple]:
     return out
 
 
-_JS_SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
-_JS_ENTITY = re.compile(
-    r"(?:\basync\s+)?\bfunction\s*\*?\s*(?P<function>[\w$]+)\s*\([^)]*\)\s*\{"
-    r"|\bclass\s+(?P<class>[\w$]+)[^{;]*\{"
-    r"|\b(?:const|let|var)\s+(?P<bound>[\w$]+)\s*=\s*(?:async\s*)?(?:function\b[^{]*|(?:\([^)]*\)|[\w$]+)\s*=>\s*)\{"
-    r"|(?:^|[{};\n])\s*(?:static\s+|async\s+|get\s+|set\s+)*(?P<method>[\w$]+)\s*\([^)]*\)\s*\{"
-)
-_JS_CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(")
-_JS_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "new", "super", "do", "else", "with", "await", "async"}
-
-
-def _blanked(source: str) -> str:
-    return _JS_SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-
-
-def javascript_chunks(source: str) -> list[tuple]:
-    """(type, symbol, parent, first line, last line, text) of declarations, classes, methods and bound functions.
-
-    Comments and strings are blanked and braces matched; regex literals and JSX text with braces may mislead it.
-    """
-    code = _blanked(source)
-    lines, found = source.split("\n"), []
-    for m in _JS_ENTITY.finditer(code):
-        kind = m.lastgroup
-        symbol = m[kind]
-        if symbol in _JS_WORDS:
-            continue
-        depth, end = 0, len(code)
-        for i in range(m.end() - 1, len(code)):
-            depth += (code[i] == "{") - (code[i] == "}")
-            if not depth:
-                end = i + 1
-                break
-        start = m.start(kind) if kind == "method" else m.start() + len(m[0]) - len(m[0].lstrip("{};\n "))
-        kind = {"bound": "function", "method": "constructor" if symbol == "constructor" else "method"}.get(kind, kind)
-        found.append((start, end, kind, symbol))
-    out = []
-    for start, end, kind, symbol in sorted(found, key=lambda x: (x[0], x[1], x[3])):
-        around = [o for o in found if o[0] <= start and o[1] >= end and o[1] - o[0] > end - start]
-        parent = min(around, key=lambda o: o[1] - o[0])[3] if around else None
-        a, b = source.count("\n", 0, start) + 1, source.count("\n", 0, end) + 1
-        out.append((kind, symbol, parent, a, b, "\n".join(lines[a - 1 : b])))
-    return out
-
-
-def javascript_calls(source: str) -> list[tuple[str, int, int]]:
-    """(name, line, byte column) of each call, from 1."""
-    code = _blanked(source)
-    defined = {m.start("method") for m in _JS_ENTITY.finditer(code) if m["method"]}
-    out = []
-    for m in _JS_CALL.finditer(code):
-        before = code[: m.start()].rstrip()
-        if m[1] in _JS_WORDS or m.start() in defined or before.endswith("function"):
-            continue
-        bol = code.rfind("\n", 0, m.start()) + 1
-        out.append((m[1], code.count("\n", 0, m.start()) + 1, len(source[bol : m.start()].encode()) + 1))
-    return out
-
-
 def window_chunks(source: str, size: int = WINDOW, overlap: int = OVERLAP) -> list[tuple]:
     lines = source.split("\n")
     if lines and not lines[-1]:
@@ -127,15 +70,30 @@ def window_chunks(source: str, size: int = WINDOW, overlap: int = OVERLAP) -> li
     return out
 
 
+def javascript_chunks(source: str) -> list[tuple]:
+    """(type, symbol, parent, first line, last line, text, imports, exports, calls, identifiers) of each entity."""
+    file = Source(source)
+    imports, exports = file.statements("import"), file.statements("export")
+    return [(*e[:6], imports, exports, [(name, name, line, column) for name, line, column in e.calls], e.identifiers) for e in file.entities()]
+
+
 def chunk_files(files: DataFrame) -> DataFrame:
-    """files (path, language, text) to chunks; a file that its parser finds nothing in is cut into windows."""
+    """files (path, language, text) to chunks; a file that its parser finds nothing in is cut into windows.
+
+    imports, exports, calls and referenced_identifiers are those of JavaScript and TypeScript, null for others.
+    """
+    none = (None,) * 4
 
-    def run(frames):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, language, text in zip(frame.path, frame.language, frame.text.fillna(""), strict=True):
-                found = python_chunks(text) if language == "python" else javascript_chunks(text) if str(language).startswith(("javascript", "typescript")) else []
-                rows += [(path, language, *c) for c in found or window_chunks(text)]
-            yield pd.DataFrame(rows, columns=["path", "language", "chunk_type", "symbol", "parent_symbol", "start_line", "end_line", "text"])
+                found = []
+                if language == "python":
+                    found = [(*c, *none) for c in python_chunks(text)]
+                elif str(language).startswith(("javascript", "typescript")):
+                    found = javascript_chunks(text)
+                rows += [(path, language, *c) for c in found or [(*w, *none) for w in window_chunks(text)]]
+            yield pd.DataFrame(rows, columns=["path", "language", "chunk_type", "symbol", "parent_symbol", "start_line", "end_line", "text", "imports", "exports", "calls", "referenced_identifiers"])
 
     return files.select("path", "language", "text").mapInPandas(run, CHUNK)

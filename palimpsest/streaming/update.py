@@ -10,7 +10,7 @@ from palimpsest.functions import text as X
 from palimpsest.operators.chunking import chunk_files
 
 FILES = "repo_id string, commit string, path string, language string, text string"
-CHUNKS = "repo string, commit string, path string, language string, chunk_type string, symbol string, parent_symbol string, start_line int, end_line int, content_id string, version_id string, occurrence_key string"
+CHUNKS = "repo string, commit string, path string, language string, chunk_type string, symbol string, parent_symbol string, start_line int, end_line int, content_id string, version_id string, occurrence_key string, imports array<string>, calls array<struct<name:string,raw:string,line:int,column:int>>, referenced_identifiers array<string>"
 CONTENTS = "content_id string, language string, text string"
 
 

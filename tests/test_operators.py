@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators import chunking, diff, evolution, graph, retrieval, router, scan
+from palimpsest.operators import chunking, diff, evolution, graph, javascript, retrieval, router, scan
 
 
 def plain_normalize(t):
@@ -43,11 +43,49 @@ def test_python_chunks():
     assert chunking.python_chunks("def (") == []
 
 
-def test_javascript_chunks_and_calls():
-    code = "import a from 'a';\nfunction f() { return g('}'); }\nclass K {\n  constructor() { this.x(); }\n  open(y) { if (y) { api.call(y); } }\n}\nconst h = async (z) => { f(z); };\n"
-    got = {(c[0], c[1], c[2], c[3], c[4]) for c in chunking.javascript_chunks(code)}
-    assert {("function", "f", None, 2, 2), ("class", "K", None, 3, 6), ("constructor", "constructor", "K", 4, 4), ("method", "open", "K", 5, 5), ("function", "h", None, 7, 7)} == got
-    assert [c[0] for c in chunking.javascript_calls(code)] == ["g", "this.x", "api.call", "f"]
+JS = r"""import a from 'a';
+import { b,
+  c } from "b";
+function f() { return g('}'); }
+class K extends Base {
+  field = (x) => { this.go(x); };
+  constructor() { super(); this.x(); }
+  static async open(y) { if (y) { api.call(y); } return /[/}]{2}/.test(y); }
+}
+const h = async (z) => { f(z); }, k = x => x + m(x);
+export const cfg = { run: function () { go(); }, alt(q) { q.a.b().c(1); }, n: 3 };
+export default function main() { const s = `t ${f(`u ${k(1)}`)} }`; return s; }
+function* gen() { yield 1; }
+foo(function inner() { return 1; });
+"""
+
+
+def test_javascript_entities():
+    got = {(e.kind, e.symbol, e.parent, e.start_line, e.end_line): [c[0] for c in e.calls] for e in javascript.Source(JS).entities()}
+    assert got == {
+        ("function", "f", None, 4, 4): ["g"],
+        ("class", "K", None, 5, 9): ["this.go", "super", "this.x", "api.call", "/[/}]{2}/.test"],
+        ("object_method", "field", "K", 6, 6): ["this.go"],
+        ("constructor", "constructor", "K", 7, 7): ["super", "this.x"],
+        ("method", "open", "K", 8, 8): ["api.call", "/[/}]{2}/.test"],
+        ("arrow_function", "h", None, 10, 10): ["f"],
+        ("arrow_function", "k", None, 10, 10): ["m"],
+        ("object_method", "run", None, 11, 11): ["go"],
+        ("method", "alt", None, 11, 11): ["q.a.b().c", "q.a.b"],
+        ("function", "main", None, 12, 12): ["f", "k"],
+    }
+    file = javascript.Source(JS)
+    assert file.statements("import") == ["import a from 'a';", 'import { b,\n  c } from "b";']
+    assert [x[:17] for x in file.statements("export")] == ["export const cfg ", "export default fu"]
+    assert file.entities()[0].identifiers == ["f", "g"]
+
+
+def test_javascript_takes_any_text():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["{", "}", "(", ")", "`", "${", "'", "/", "=>", "=", ",", ";", "\n", "class ", "function ", "f", "é ", "const ", "\\"]) for _ in range(rng.randint(0, 40)))
+        for e in javascript.Source(text).entities():
+            assert 1 <= e.start_line <= e.end_line <= text.count("\n") + 1
 
 
 def test_windows_agree(spark):
