@@ -159,6 +159,17 @@ def embedding_reuse_report(spark, sf_dir):
     return diff.reuse_report(*_versions(spark, sf_dir))
 
 
+@query(_VERSIONS + """, d AS (SELECT CASE WHEN o.path IS NULL THEN 'a' WHEN n.path IS NULL THEN 'r' WHEN o.content_id = n.content_id THEN 'u' ELSE 'm' END AS s FROM o FULL JOIN n ON o.path = n.path),
+oc AS (SELECT DISTINCT content_id FROM o), nc AS (SELECT DISTINCT content_id FROM n)
+SELECT (SELECT count(*) FROM d WHERE s = 'u') AS unchanged_occurrences, (SELECT count(*) FROM d WHERE s = 'm') AS modified_replaced_occurrences,
+(SELECT count(*) FROM d WHERE s IN ('a', 'm')) AS added_occurrences, (SELECT count(*) FROM d WHERE s IN ('r', 'm')) AS removed_occurrences,
+(SELECT count(*) FROM nc WHERE content_id IN (FROM oc)) AS reused_vectors, (SELECT count(*) FROM nc WHERE content_id NOT IN (FROM oc)) AS vectors_newly_inserted,
+(SELECT count(*) FROM oc WHERE content_id NOT IN (FROM nc)) AS vectors_tombstoned, (SELECT count(*) FROM nc) AS active_vectors_after_update""")
+def index_update_counts(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return diff.index_update(old, new, old)
+
+
 # Aggregates over chunks
 
 
@@ -365,6 +376,20 @@ def lineage(spark, sf_dir):
     return e.groupBy("content").agg(F.countDistinct("key").alias("chains"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
 
 
+@query(_CHAIN + """, w AS (SELECT DISTINCT key, content FROM e),
+s AS (SELECT key, content, min(ord) AS first_ord, max(ord) AS last_ord, string_agg(ord::VARCHAR, ',' ORDER BY ord) AS ords FROM e WHERE ord BETWEEN 10 AND 79 GROUP BY 1, 2),
+i AS (SELECT key, new AS content, old AS predecessor, transition AS introduced_by, row_number() OVER (PARTITION BY key, new ORDER BY ord) AS k FROM t WHERE transition IN ('added', 'reintroduced', 'modified') AND ord BETWEEN 10 AND 79),
+x AS (SELECT key, old AS content, new AS successor, transition AS removed_by, row_number() OVER (PARTITION BY key, old ORDER BY ord) AS k FROM t WHERE transition IN ('deleted', 'modified') AND ord BETWEEN 11 AND 80)
+SELECT w.key, w.content, s.first_ord, s.last_ord, coalesce(s.ords, '') AS ords, i.predecessor, i.introduced_by, x.successor, x.removed_by FROM w
+LEFT JOIN s USING (key, content) LEFT JOIN (SELECT * FROM i WHERE k = 1) i USING (key, content) LEFT JOIN (SELECT * FROM x WHERE k = 1) x USING (key, content)""")
+def evolution_context(spark, sf_dir):
+    e, commits = _chain(spark, sf_dir)
+    zero = F.lit(0).cast("long")
+    t = evolution.transitions(e, commits).withColumn("lines_added", zero).withColumn("lines_removed", zero)
+    c = evolution.context(e.select("key", "content"), e, t, 10, 79)
+    return c.select("key", "content", "first_ord", "last_ord", F.array_join("ords", ",").alias("ords"), "predecessor", "introduced_by", "successor", "removed_by")
+
+
 @query("""WITH c AS (SELECT conv_id, turn, role, sha256(text) AS h, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM conversations)
 SELECT conv_id, turn, role, CASE WHEN p IS NULL THEN 'added' WHEN p = h THEN 'unchanged' ELSE 'modified' END AS transition FROM c""")
 def conversation_diff(spark, sf_dir):

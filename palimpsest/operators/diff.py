@@ -42,6 +42,29 @@ def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "occurrence_key", "full_outer").select("occurrence_key", status.alias("status"))
 
 
+def index_update(old: DataFrame, new: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Counts of an index update from occurrences old to new, over contents that were indexed before it.
+
+    A modified place counts as added and as removed. Vectors are counted by distinct content.
+    """
+    places = index_diff(old, new)
+    n = lambda *kinds: F.count_if(F.col("status").isin(*kinds))
+    moved = places.agg(
+        n("unchanged").alias("unchanged_occurrences"), n("modified").alias("modified_replaced_occurrences"),
+        n("added", "modified").alias("added_occurrences"), n("removed", "modified").alias("removed_occurrences"),
+    )
+    side = lambda df, name: df.select("content_id").distinct().withColumn(name, F.lit(1))
+    every = side(old, "_o").join(side(new, "_n"), "content_id", "full_outer").join(side(indexed, "_i"), "content_id", "left")
+    has = lambda name: F.col(name).isNotNull()
+    vectors = every.agg(
+        F.count_if(has("_n") & has("_i")).alias("reused_vectors"),
+        F.count_if(has("_n") & ~has("_i")).alias("vectors_newly_inserted"),
+        F.count_if(has("_o") & ~has("_n")).alias("vectors_tombstoned"),
+        F.count("_n").alias("active_vectors_after_update"),
+    )
+    return moved.crossJoin(vectors)
+
+
 def reuse_report(cached: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits and misses count occurrences, generated counts distinct contents."""
     hit = chunks.join(cached.select("content_id").distinct().withColumn("_h", F.lit(1)), "content_id", "left")

@@ -42,3 +42,40 @@ def best_states(hits: DataFrame, k: int, *tie: Column) -> DataFrame:
     """hits (content, score, ord, ...) to the best hit of each content, the earliest of equals; the best k contents."""
     w = Window.partitionBy("content").orderBy(F.desc("score"), *tie)
     return hits.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").orderBy(F.desc("score"), "content").limit(k)
+
+
+def context(wanted: DataFrame, occurrences: DataFrame, changes: DataFrame, lo: int, hi: int) -> DataFrame:
+    """wanted (content, key) with what happened to each content from commit lo to commit hi.
+
+    The chain is that of key, or the first one that holds the content where key has none. changes are transitions
+    with lines_added and lines_removed, commits are numbered without gaps. first_ord, last_ord and ords are where the
+    content stands in the chain; predecessor and introduced_by tell the first change to it, successor and removed_by
+    the first one away from it. What does not occur is null; ords is then empty and line counts are zero.
+    """
+    chains = occurrences.select("key").distinct().withColumn("_known", F.lit(True))
+    least = occurrences.groupBy("content").agg(F.min("key").alias("_least"))
+    asked = wanted.select("content", "key").distinct().join(chains, "key", "left").join(least, "content", "left")
+    asked = asked.select("content", "key", F.when(F.col("_known"), F.col("key")).otherwise(F.col("_least")).alias("chain"))
+    at = ["chain", "content"]
+    there = occurrences.filter(F.col("ord").between(lo, hi)).select(F.col("key").alias("chain"), "content", "ord")
+    seen = there.groupBy(at).agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.sort_array(F.collect_list("ord")).alias("ords"))
+    moves = changes.filter(~F.col("old").eqNullSafe(F.col("new"))).withColumnRenamed("key", "chain")
+    into = F.struct("ord", "old", "transition", "lines_added", "lines_removed")
+    came = moves.filter(F.col("ord").between(lo, hi) & F.col("new").isNotNull()).groupBy("chain", F.col("new").alias("content")).agg(F.min_by(into, "ord").alias("came"))
+    left = moves.filter((F.col("ord") - 1).between(lo, hi) & F.col("old").isNotNull()).groupBy("chain", F.col("old").alias("content")).agg(F.min_by(F.struct("new", "transition"), "ord").alias("went"))
+    out = asked.join(seen, at, "left").join(came, at, "left").join(left, at, "left")
+    zero = F.lit(0).cast("long")
+    return out.select(
+        "content",
+        "key",
+        "chain",
+        "first_ord",
+        "last_ord",
+        F.coalesce("ords", F.array().cast("array<long>")).alias("ords"),
+        F.col("came.old").alias("predecessor"),
+        F.col("went.new").alias("successor"),
+        F.col("came.transition").alias("introduced_by"),
+        F.col("went.transition").alias("removed_by"),
+        F.coalesce("came.lines_added", zero).alias("lines_added"),
+        F.coalesce("came.lines_removed", zero).alias("lines_removed"),
+    )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+EDGES = "array<struct<kind:string,name:string,line:int,column:int>>"
+
 
 def edges_of_calls(chunks: DataFrame) -> DataFrame:
     """chunks (version_id, calls array<struct<name,line,column>>) to call edges by full and, where it differs, short name."""
@@ -15,6 +17,22 @@ def edges_of_calls(chunks: DataFrame) -> DataFrame:
     return flat.select("version_id", F.explode(names).alias("name"), F.col("c.line").alias("line"), F.col("c.column").alias("column"))
 
 
+def structural_edges(chunks: DataFrame) -> DataFrame:
+    """chunks to (kind, name, version_id, path, symbol, start_line, end_line, line, column): symbols, imports, references, calls.
+
+    Each call gives an edge under its full name and, where that differs, one under its last part. Null lists give none.
+    """
+    none = F.lit(None).cast("int")
+    edge = lambda kind, name, line=none, column=none: F.struct(F.lit(kind).alias("kind"), name.alias("name"), line.alias("line"), column.alias("column"))
+    own = F.filter(F.array(edge("symbols", F.col("symbol"))), lambda x: x["name"].isNotNull())
+    lists = lambda name, kind: F.coalesce(F.transform(name, lambda x: edge(kind, x)), F.array().cast(EDGES))
+    named = lambda c: F.array_distinct(F.array(c["name"], F.element_at(F.split(c["name"], r"\."), -1)))
+    called = F.flatten(F.transform("calls", lambda c: F.transform(named(c), lambda n: edge("calls", n, c["line"], c["column"]))))
+    every = F.concat(own, lists("imports", "imports"), lists("referenced_identifiers", "references"), F.coalesce(called, F.array().cast(EDGES)))
+    flat = chunks.select("version_id", "path", "symbol", "start_line", "end_line", F.explode(every).alias("e"))
+    return flat.select("e.kind", "e.name", "version_id", "path", "symbol", "start_line", "end_line", "e.line", "e.column")
+
+
 def call_order(edges: DataFrame, first: str, second: str) -> DataFrame:
     """The chunks where first comes before second: the earliest first, then the earliest second behind it.
 
