@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.bytesops import U, mix, texts, word_hashes, words
 from palimpsest.llm.storage import checked_join, join_groups, stage, unstage
 
-#: Sentences of a span.
+#: Sentences of a span at least.
 RUN = 3
-#: A span of fewer words than this is too common to count as a repeated passage.
+#: Words of a span at least: one of shorter sentences takes in more of them until it has as many.
 LEAST_WORDS = 12
 #: A sentence without an end mark ends after this many words, counted from the last end.
 LONGEST = 16
@@ -48,23 +48,36 @@ def _sentences(buf: np.ndarray, offs: np.ndarray):
     return start[go], end[stop], doc[stop], stop - go + 1, *both
 
 
+def _runs(doc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sentences of the span that begins at each sentence; 0 where the text ends before it is whole."""
+    n = np.arange(len(doc))
+    total = np.concatenate(([0], np.cumsum(size)))
+    end = np.maximum(n + RUN, np.searchsorted(total, total[:-1] + LEAST_WORDS))
+    last = np.searchsorted(doc, doc, "right")
+    return np.where(end <= last, end - n, 0)
+
+
 def _spans(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, at, key): each run of RUN sentences, or the whole of a shorter text, of at least LEAST_WORDS words."""
+    """(row, doc_id, at, key): each shortest run of RUN sentences or more that has LEAST_WORDS words or more."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offs in texts(batch.column(2)):
                 _, _, doc, size, h1, h2 = _sentences(buf, offs)
-                m = max(0, len(doc) - RUN + 1)
-                ok = doc[:m] == doc[RUN - 1 :]
-                long = sum((size[i : i + m] for i in range(RUN)), np.zeros(m, np.int64)) >= LEAST_WORDS
-                key = [mix(sum((h[i : i + m] * U(2 * i + 3) for i in range(RUN)), np.zeros(m, U))) for h in (h1, h2)]
-                first = np.searchsorted(doc, doc[:m])
-                pick = np.flatnonzero(ok & long)
-                raw = np.stack([k[pick] for k in key], axis=1).astype(">u8").tobytes()
+                length = _runs(doc, size)
+                pick = np.flatnonzero(length)
+                key = []
+                for h in (h1, h2):
+                    k = np.zeros(len(pick), U)
+                    for i in range(length.max(initial=0)):
+                        there = length[pick] > i
+                        k[there] += h[pick[there] + i] * U(2 * i + 3)
+                    key.append(mix(k + length[pick].astype(U)))
+                first = np.searchsorted(doc, doc[pick])
+                raw = np.stack(key, axis=1).astype(">u8").tobytes()
                 keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(pick), [None, pa.py_buffer(raw)]).cast(pa.binary())
                 at = pa.array(doc[pick] + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((pick - first[pick]).astype(np.int32)), keys], ["row", "doc_id", "at", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((pick - first).astype(np.int32)), keys], ["row", "doc_id", "at", "key"])
 
     return docs.mapInArrow(run, "row long, doc_id long, at int, key binary")
 
@@ -72,10 +85,10 @@ def _spans(docs: DataFrame) -> DataFrame:
 def span_dedup(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_sentences, n_removed, kept_text), a row for each row.
 
-    Every run of RUN consecutive sentences is hashed to 128 bits and joined over all documents. The run with the
-    smallest (doc_id, row hash, position) is the first of its key; sentences that any other run of the key covers
-    are removed, and the text that stays is what lies outside them. Texts of fewer than RUN sentences and runs of
-    fewer than LEAST_WORDS words are left alone. Null and empty texts have no sentences and stay empty; a null
+    At every sentence the shortest run of RUN consecutive ones or more that has LEAST_WORDS words or more is hashed
+    to 128 bits and joined over all documents. The run with the smallest (doc_id, row hash, position) is the first
+    of its key; sentences that any other run of the key covers are removed, and the text that stays is what lies
+    outside them. Texts that are shorter than such a run are left alone. Null and empty texts have no sentences and stay empty; a null
     doc_id comes last; repeated rows are one row and keep or lose the same sentences.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -90,18 +103,19 @@ def span_dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(2).to_pylist()
             for lo, hi, buf, offs in texts(batch.column(1)):
-                begin, end, doc, _, _, _ = _sentences(buf, offs)
+                begin, end, doc, size, _, _ = _sentences(buf, offs)
+                length = _runs(doc, size)
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
                 n, out, lost = np.diff(bounds), [], []
                 for i in range(hi - lo):
                     body = buf[offs[i] : offs[i + 1]].tobytes()
-                    drop = np.zeros(n[i] + RUN, bool)
+                    drop = np.zeros(n[i], bool)
                     for k in lists[lo + i] or ():
-                        drop[k : k + RUN] = True
-                    lost.append(int(drop[: n[i]].sum()))
+                        drop[k : k + length[bounds[i] + k]] = True
+                    lost.append(int(drop.sum()))
                     if lost[-1]:
                         parts, at = [], 0
-                        for k in np.flatnonzero(drop[: n[i]]):
+                        for k in np.flatnonzero(drop):
                             b, e = int(begin[bounds[i] + k] - offs[i]), int(end[bounds[i] + k] - offs[i])
                             parts.append(body[at:b])
                             at = e

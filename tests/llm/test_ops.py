@@ -173,6 +173,39 @@ def test_span_dedup(spark, docs, none):
     assert span_dedup.span_dedup(docs).count() == len(rows()) and span_dedup.span_dedup(none).count() == 0
 
 
+def span_brute(table):
+    """doc_id to (sentences, removed) by comparing word lists, for rows with distinct ids and texts."""
+    runs, cut = collections.defaultdict(list), {}
+    for d, text, *_ in table:
+        parts = [[]]
+        for line in (text or "").split("\n"):
+            for w in line.split():
+                parts[-1].append("".join(c.lower() if c.isascii() else c for c in w))
+                if w[-1] in ".!?" or len(parts[-1]) == 16:
+                    parts.append([])
+            if parts[-1]:
+                parts.append([])
+        parts.pop()
+        cut[d] = parts
+        for i in range(len(parts)):
+            n = next((n for n in range(3, len(parts) - i + 1) if sum(map(len, parts[i : i + n])) >= 12), None)
+            if n:
+                runs[tuple(map(tuple, parts[i : i + n]))].append((d, i, n))
+    gone = {(d, i + j) for at in runs.values() for d, i, n in sorted(at)[1:] for j in range(n)}
+    return {d: (len(parts), sum((d, i) in gone for i in range(len(parts)))) for d, parts in cut.items()}
+
+
+def test_span_dedup_equals_brute_force(spark):
+    rng = random.Random(13)
+    loud = " ".join(f"{rng.choice(WORDS)}!!" for _ in range(40))
+    texts = [body(rng, rng.randint(2, 12)) for _ in range(40)]
+    texts += [texts[0] + " More here.", texts[1].upper() + " No.", "A b. " + texts[2], loud, f"Before. {loud} {loud}", "no " * 5 + loud[::-1], "Ha. " * 40, "one two three " * 30, "x.\ny\n\nz? " * 9, None, "", " "]
+    table = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_sentences, r.n_removed) for r in span_dedup.span_dedup(spark.createDataFrame(table, SCHEMA)).collect()}
+    assert got == span_brute(table)
+    assert got[44][1] >= 40 and got[46][1] > 20 and got[1][1] == 0
+
+
 def test_pfair_stays_within_a_block():
     rng = random.Random(1)
     for _ in range(60):
