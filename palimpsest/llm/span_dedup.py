@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytesops import U, mix, texts, word_hashes, words
-from palimpsest.llm.storage import checked_join, join_groups, stage, unstage
+from palimpsest.llm.storage import BROADCAST_BYTES, join_groups, stage, unstage
 
 #: Sentences of a span at least.
 RUN = 3
@@ -123,7 +123,8 @@ def span_dedup(docs: DataFrame) -> DataFrame:
                     out.append(body.decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(lost, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_sentences", "n_removed", "kept_text"])
 
-    held = checked_join(rows, gone, "row", "left", 64).select("doc_id", "text", "ats")
+    weight = gone.agg(F.sum(F.lit(64) + 4 * F.size("ats"))).first()[0] or 0
+    held = rows.join(F.broadcast(gone) if weight <= BROADCAST_BYTES else gone, "row", "left").select("doc_id", "text", "ats")
     return held.mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, kept_text string")
 
 
