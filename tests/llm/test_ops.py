@@ -195,7 +195,9 @@ def span_brute(table):
     return {d: (len(parts), sum((d, i) in gone for i in range(len(parts)))) for d, parts in cut.items()}
 
 
-def test_span_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [span_dedup.BROADCAST_BYTES, 0])
+def test_span_dedup_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(span_dedup, "BROADCAST_BYTES", most)
     rng = random.Random(13)
     loud = " ".join(f"{rng.choice(WORDS)}!!" for _ in range(40))
     texts = [body(rng, rng.randint(2, 12)) for _ in range(40)]
