@@ -14,42 +14,66 @@ from palimpsest.llm.storage import BROADCAST_BYTES, join_groups, stage, unstage
 RUN = 3
 #: Words of a span at least: one of shorter sentences takes in more of them until it has as many.
 LEAST_WORDS = 12
-#: A sentence without an end mark ends after this many words, counted from the last end.
+#: A sentence without an end mark ends after this many words, counted from the last end; so does a piece.
 LONGEST = 16
+#: A long sentence is cut after each word whose hash is below those of LEAST_OF words on either side, if it is neither
+#: among the NO_END words on either side nor one of them is an end: so equal passages are cut alike wherever they begin.
+LEAST_OF, NO_END = 2, 6
 
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
 
+def _low(h: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Words that end a piece of a long sentence by their hash; they depend on NO_END words on either side only."""
+    n = np.arange(len(h))
+    ends = np.concatenate(([0], np.cumsum(last)))
+    low = (n >= NO_END) & (ends[np.minimum(n + NO_END + 1, len(h))] == ends[np.maximum(n - NO_END, 0)])
+    v = mix(h)
+    for i in range(1, NO_END + 1):
+        low[i:] &= v[i:] < v[:-i] if i <= LEAST_OF else v[i:] != v[:-i]
+        low[:-i] &= v[:-i] < v[i:] if i <= LEAST_OF else v[:-i] != v[i:]
+    return low
+
+
+def _limited(last: np.ndarray) -> np.ndarray:
+    """Ends, and one more after every LONGEST words without."""
+    n = np.arange(len(last))
+    since = n - np.maximum.accumulate(np.where(np.concatenate(([True], last[:-1])), n, 0))
+    return last | (since % LONGEST == LONGEST - 1)
+
+
 def _sentences(buf: np.ndarray, offs: np.ndarray):
-    """First byte, end byte, text number, words and two hashes of every sentence.
+    """First byte, end byte, text number, words, two hashes, first and last sentence of every piece; text number of every sentence.
 
     A sentence ends with a word whose last byte is . ! or ?, at a line's end, at the text's end, and after LONGEST
-    words. Hashes are of the lower-cased words, so spacing does not matter.
+    words. A piece ends there too, but where a sentence is long its words decide (LEAST_OF), and LONGEST counts from
+    the last end of a piece; so a piece may reach over the end of a sentence that LONGEST words make. Hashes are of
+    the lower-cased words, so spacing does not matter.
     """
     start, end, doc = words(buf, offs)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none, none.astype(U), none.astype(U), none, none, none
     last = _END[buf[end - 1]]
     lines = np.concatenate(([0], np.cumsum(buf == 10)))
     last[:-1] |= (lines[start[1:]] > lines[end[:-1]]) | (doc[1:] != doc[:-1])
     last[-1] = True
     n = np.arange(len(start))
-    since = n - np.maximum.accumulate(np.where(np.concatenate(([True], last[:-1])), n, 0))
-    last |= since % LONGEST == LONGEST - 1
-    stop = np.flatnonzero(last)
-    go = np.concatenate(([0], stop[:-1] + 1))
     h, _ = word_hashes(buf, offs)
+    whole = _limited(last)
+    sentence = np.cumsum(whole) - whole
+    stop = np.flatnonzero(_limited(last | _low(h, last)))
+    go = np.concatenate(([0], stop[:-1] + 1))
     both = []
     for salt in (1, 2):
         x = mix(h + U(salt)) * (U(2) * (n - np.repeat(go, stop - go + 1)).astype(U) + U(1))
         both.append(mix(np.add.reduceat(x, go)))
-    return start[go], end[stop], doc[stop], stop - go + 1, *both
+    return start[go], end[stop], doc[stop], stop - go + 1, *both, sentence[go], sentence[stop], doc[whole]
 
 
 def _runs(doc: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Sentences of the span that begins at each sentence; 0 where the text ends before it is whole."""
+    """Pieces of the span that begins at each piece; 0 where the text ends before it is whole."""
     n = np.arange(len(doc))
     total = np.concatenate(([0], np.cumsum(size)))
     end = np.maximum(n + RUN, np.searchsorted(total, total[:-1] + LEAST_WORDS))
@@ -58,12 +82,12 @@ def _runs(doc: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, at, key): each shortest run of RUN sentences or more that has LEAST_WORDS words or more."""
+    """(row, doc_id, at, key): each shortest run of RUN pieces or more that has LEAST_WORDS words or more."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offs in texts(batch.column(2)):
-                _, _, doc, size, h1, h2 = _sentences(buf, offs)
+                _, _, doc, size, h1, h2, *_ = _sentences(buf, offs)
                 length = _runs(doc, size)
                 pick = np.flatnonzero(length)
                 key = []
@@ -85,10 +109,11 @@ def _spans(docs: DataFrame) -> DataFrame:
 def span_dedup(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_sentences, n_removed, kept_text), a row for each row.
 
-    At every sentence the shortest run of RUN consecutive ones or more that has LEAST_WORDS words or more is hashed
-    to 128 bits and joined over all documents. The run with the smallest (doc_id, row hash, position) is the first
-    of its key; sentences that any other run of the key covers are removed, and the text that stays is what lies
-    outside them. Texts that are shorter than such a run are left alone. Null and empty texts have no sentences and stay empty; a null
+    Sentences are the pieces, but for long ones, which are cut into several by their words. At every piece the
+    shortest run of RUN consecutive ones or more that has LEAST_WORDS words or more is hashed to 128 bits and joined
+    over all documents. The run with the smallest (doc_id, row hash, position) is the first of its key; pieces that
+    any other run of the key covers are removed, and the text that stays is what lies outside them. n_removed counts
+    the sentences that lose a piece or part of one. Texts that are shorter than such a run are left alone. Null and empty texts have no sentences and stay empty; a null
     doc_id comes last; repeated rows are one row and keep or lose the same sentences.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -103,16 +128,18 @@ def span_dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(2).to_pylist()
             for lo, hi, buf, offs in texts(batch.column(1)):
-                begin, end, doc, size, _, _ = _sentences(buf, offs)
+                begin, end, doc, size, _, _, head, tail, whole = _sentences(buf, offs)
                 length = _runs(doc, size)
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-                n, out, lost = np.diff(bounds), [], []
+                firsts = np.searchsorted(whole, np.arange(hi - lo + 1))
+                n, out, lost = np.diff(firsts), [], []
                 for i in range(hi - lo):
                     body = buf[offs[i] : offs[i + 1]].tobytes()
-                    drop = np.zeros(n[i], bool)
+                    drop, hit = np.zeros(bounds[i + 1] - bounds[i], bool), np.zeros(n[i], bool)
                     for k in lists[lo + i] or ():
                         drop[k : k + length[bounds[i] + k]] = True
-                    lost.append(int(drop.sum()))
+                        hit[head[bounds[i] + k] - firsts[i] : tail[bounds[i] + k + length[bounds[i] + k] - 1] - firsts[i] + 1] = True
+                    lost.append(int(hit.sum()))
                     if lost[-1]:
                         parts, at = [], 0
                         for k in np.flatnonzero(drop):

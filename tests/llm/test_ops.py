@@ -208,6 +208,26 @@ def test_span_dedup_equals_brute_force(spark, monkeypatch, most):
     assert got[44][1] >= 40 and got[46][1] > 20 and got[1][1] == 0
 
 
+@pytest.mark.parametrize("every", [0, 20, 30])
+def test_span_dedup_cuts_long_sentences_alike(spark, every):
+    rng = random.Random(17)
+    many = lambda n: [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+    table, shared = [], []
+    for k in range(16):
+        passage = many(51)
+        for i in range(every // 2, 51, every or 51):
+            passage[i] += "." if every else ""
+        shared.append(passage)
+        table += [(2 * k, " ".join(many(5) + passage + many(9)), "en", "s", 1), (2 * k + 1, " ".join(many(6 + k) + passage + many(3)), "en", "s", 1)]
+    got = {r.doc_id: r for r in span_dedup.span_dedup(spark.createDataFrame(table, SCHEMA)).collect()}
+    for k, passage in enumerate(shared):
+        a, b = got[2 * k], got[2 * k + 1]
+        assert a.n_removed == 0 and a.kept_text == table[2 * k][1] and b.n_removed > 0
+        left = b.kept_text.split()
+        assert left[: 6 + k] == table[2 * k + 1][1].split()[: 6 + k] and left[-3:] == table[2 * k + 1][1].split()[-3:]
+        assert len(left) <= 6 + k + 3 + 51 - 12
+
+
 def test_pfair_stays_within_a_block():
     rng = random.Random(1)
     for _ in range(60):
