@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.storage import stage
+from palimpsest.llm.storage import BROADCAST_BYTES, stage
 
-#: Rows of a block, and slots of a period: weights are rounded to whole slots a period, one at least.
+#: Rows of a block, and blocks of a source whose slots are one row of the schedule.
 BLOCK, PERIOD = 32, 1024
 
 
 def shares(weights: dict, period: int) -> dict:
-    """Slots a period for each source, one at least, the rest by largest remainder; they add up to the period."""
+    """Weights rounded to slots a period, one at least, the rest by largest remainder; they add up to the period."""
     total = sum(weights.values())
     free = period - len(weights)
     exact = {s: Fraction(w) / Fraction(total) * free for s, w in weights.items()}
@@ -26,62 +28,56 @@ def shares(weights: dict, period: int) -> dict:
     return {s: n + 1 for s, n in got.items()}
 
 
-def pfair(slots: dict) -> dict:
-    """Slot of each block of each source in a period of sum(slots) slots.
+def pfair(slots: dict, blocks: dict | None = None) -> dict:
+    """Slot of each block of each source, for one period of sum(slots) slots or until a source has placed its blocks.
 
     Block k of a source with n slots of P is released at floor(k P / n) and due at ceil((k + 1) P / n). In each
     slot the released block with the earliest deadline runs (ties by source). As the weights add up to one, each
     block meets its window, so after t slots a source is less than one block away from n t / P.
     """
     period = sum(slots.values())
-    ready, later = [], []
-    for s, n in slots.items():
-        heapq.heappush(later, (0, -(-period // n), str(s), s, 0))
-    out = {s: [] for s in slots}
-    for t in range(period):
+    names = sorted(slots, key=lambda s: (str(s), s is None))
+    ready, later = [], [(0, -(-period // slots[s]), i, 0) for i, s in enumerate(names)]
+    heapq.heapify(later)
+    out = {s: array("q") for s in slots}
+    t = 0
+    while blocks or t < period:
         while later and later[0][0] <= t:
-            _, due, name, s, k = heapq.heappop(later)
-            heapq.heappush(ready, (due, name, s, k))
-        _, name, s, k = heapq.heappop(ready)
+            _, due, i, k = heapq.heappop(later)
+            heapq.heappush(ready, (due, i, k))
+        _, i, k = heapq.heappop(ready)
+        s = names[i]
         out[s].append(t)
+        t += 1
+        if blocks and k + 1 == blocks[s]:
+            break
         n = slots[s]
-        if k + 1 < n:
-            heapq.heappush(later, ((k + 1) * period // n, -(-(k + 2) * period // n), name, s, k + 1))
+        if blocks or k + 1 < n:
+            heapq.heappush(later, ((k + 1) * period // n, -(-(k + 2) * period // n), i, k + 1))
     return out
 
 
 def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
-    """(source, first block, end block, first slot, slots a period, place, slot in the period, period) rows.
+    """(source, first block, end block, slots) rows of at most period blocks; the first is a multiple of period.
 
     A phase runs until a source has no block left; the next one plans the others with their weights scaled up, so
-    every block is placed once. There are at most as many phases as sources, of a period's length each.
+    every block is placed once. Weights are taken as they are: within a phase a source is less than one block away
+    from its share of the slots, however long the phase. There are at most as many phases as sources.
     """
     left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    at, rows = 0, []
+    exact = {s: Fraction(weights[s]) for s in left}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    slots = {s: array("q") for s in left}
+    at = 0
     while left:
-        while period < 4 * len(left):
-            period *= 2
-        slots = shares({s: weights[s] for s in left}, period)
-        plan = pfair(slots)
-        order = sorted((t, s) for s, ts in plan.items() for t in ts)
-        turns = min(left[s] // slots[s] for s in left)
-        rest = {s: left[s] - turns * slots[s] for s in left}
-        used = dict.fromkeys(left, 0)
-        end = turns * period
-        for t, s in order:
-            if min(rest[x] - used[x] for x in rest) == 0:
-                break
-            used[s] += 1
-            end = turns * period + t + 1
-        for s in left:
-            n = turns * slots[s] + used[s]
-            rows += [(s, done[s], done[s] + n, at, slots[s], i, t, period) for i, t in enumerate(plan[s])]
-            done[s] += n
-            left[s] -= n
+        plan = pfair({s: whole[s] for s in left}, left)
+        for s, ts in plan.items():
+            slots[s].extend(at + t for t in ts)
+            left[s] -= len(ts)
+        at += sum(map(len, plan.values()))
         left = {s: n for s, n in left.items() if n}
-        at += end
-    return rows
+    return [(s, lo, min(lo + period, len(ts)), ts[lo : lo + period].tolist()) for s, ts in slots.items() for lo in range(0, len(ts), period)]
 
 
 def tempered(counts: dict, power: float = 0.5) -> dict:
@@ -96,7 +92,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
     slot. weights: by source, any positive numbers; a source without one, and by default all, has the square root
     of its rows. All rows stay: sources that run out leave their share to the others. A null source is a source of
     its own; a null doc_id sorts by the MD5 of the empty text; repeated rows are rows. The driver holds one number
-    a source and the schedule of one period a phase; ranks are found by buckets of hashes, so no source meets in
+    a source and one a block, the schedule; period: blocks of a row of it. Ranks are found by buckets of hashes, so no source meets in
     one task. Columns of docs keep their values whatever their names, but for the three added here, which are replaced.
     """
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -107,7 +103,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
     counts = {r.source: r.n for r in per.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return docs.select("*", F.lit(0).cast("long").alias("mix_block"), F.lit(0).cast("long").alias("mix_slot"), F.lit(0).cast("long").alias("mix_position"))
-    weights = tempered(counts) | {s: Fraction(w).limit_denominator(10**6) for s, w in (weights or {}).items() if s in counts}
+    weights = tempered(counts) | {s: Fraction(w) for s, w in (weights or {}).items() if s in counts}
     plan = phases({s: -(-n // block) for s, n in counts.items()}, weights, period)
     wide = Window.partitionBy("source").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     cell = F.concat(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.lit("|"), "_p")
@@ -115,15 +111,10 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
     keyed = keyed.withColumn("_p", F.substring("_h", 1, 4)).withColumn("_cell", cell)
     ranked = keyed.withColumn("_in", F.row_number().over(Window.partitionBy("_cell").orderBy("_h", "doc_id")) - 1).join(before, "_cell")
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in")).withColumn("mix_block", F.floor(F.col("_rank") / block))
-    table = docs.sparkSession.createDataFrame(plan, "_s string, _lo long, _hi long, _at long, _n long, _i long, _t long, _period long")
-    kinds = table.select("_s", "_lo", "_hi", "_at", "_n", "_period").distinct()
-    where = F.col("source").eqNullSafe(F.col("_s")) & (F.col("mix_block") >= F.col("_lo")) & (F.col("mix_block") < F.col("_hi"))
-    placed = ranked.join(F.broadcast(kinds), where)
-    since = F.col("mix_block") - F.col("_lo")
-    placed = placed.withColumn("_k", since % F.col("_n")).withColumn("_turn", F.floor(since / F.col("_n")))
-    inner = F.broadcast(table.select(F.col("_s").alias("_s2"), F.col("_at").alias("_at2"), "_i", "_t"))
-    placed = placed.join(inner, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_at") == F.col("_at2")) & (F.col("_k") == F.col("_i")))
-    slot = F.col("_at") + F.col("_turn") * F.col("_period") + F.col("_t")
+    table = docs.sparkSession.createDataFrame(plan, "_s string, _lo long, _hi long, _slots array<long>").withColumn("_part", F.floor(F.col("_lo") / period)).drop("_lo", "_hi")
+    held = F.broadcast(table) if 8 * sum(hi - lo for _, lo, hi, _ in plan) <= BROADCAST_BYTES else table
+    placed = ranked.join(held, F.col("source").eqNullSafe(F.col("_s")) & (F.floor(F.col("mix_block") / period) == F.col("_part")))
+    slot = F.get("_slots", (F.col("mix_block") % period).cast("int"))
     return placed.withColumn("mix_slot", slot).withColumn("mix_position", slot * block + F.col("_rank") % block).select("_row.*", "mix_block", "mix_slot", "mix_position")
 
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -243,6 +244,21 @@ def test_pfair_stays_within_a_block():
             assert all(abs(got[s] - n * (t + 1) / 64) < 1 for s, n in slots.items())
 
 
+@pytest.mark.parametrize("weights", [{f"s{i}": 1 for i in range(20)}, {"s0": 0.99} | {f"s{i}": 0.01 / 255 for i in range(1, 256)}, {"s0": 1e-4, "s1": 2 / 3, "s2": 0.1, None: 7}])
+def test_phases_keep_the_given_weights(weights):
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    blocks = {s: math.ceil(40_000 * w) + 1 for s, w in share.items()}
+    plan = mixing.phases(blocks, weights, 64)
+    order = {t: s for s, *_, ts in plan for t in ts}
+    assert sorted(order) == list(range(sum(blocks.values()))) and all(lo % 64 == 0 and hi - lo == len(ts) for _, lo, hi, ts in plan)
+    first = min(max(ts[-1] for x, *_, ts in plan if x == s) for s in weights) + 1
+    assert first > 20_000
+    for s, w in share.items():
+        for k, t in enumerate(t for x, *_, ts in plan if x == s for t in ts if t < first):
+            assert k > w * t - 1 and k + 1 < w * (t + 1) + 1
+
+
 def test_mix_sources(docs, none):
     got = mixing.mix_sources(docs, {"s1": 3, "s2": 1}, block=4, period=16).collect()
     assert len(got) == len(rows()) and len({r.mix_position for r in got}) == len(got)
