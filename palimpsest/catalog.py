@@ -284,9 +284,9 @@ def evolution_search_grouped(spark, sf_dir):
 # BM25
 
 
-def _bm25(spark, sf_dir):
+def _bm25(spark, sf_dir, depth=10):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.top_k(retrieval.bm25_scores(q, table(spark, sf_dir, "documents").select("doc_id", "text")), 10)
+    return retrieval.top_k(retrieval.bm25_scores(q, table(spark, sf_dir, "documents").select("doc_id", "text")), depth)
 
 
 _BM25 = r"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM documents),
@@ -308,7 +308,7 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _ranks(spark, sf_dir):
+def _ranks(spark, sf_dir, depth=10):
     # Items are found in documents by their first five words, so the pairs come from an equi-join, then contains.
     words = lambda: F.split(F.col("text"), r"\s+")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), F.array_join(F.slice(words(), 2, 3), " ").alias("g"))
@@ -316,7 +316,7 @@ def _ranks(spark, sf_dir):
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice("w", i, 3), " "))
     d = d.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("g"))
     positive = d.join(b, "g").filter(F.contains(F.col("text"), F.col("item"))).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
-    return retrieval.positives(_bm25(spark, sf_dir), positive, 10)
+    return retrieval.positives(_bm25(spark, sf_dir, depth), positive, depth)
 
 
 @query(_BM25 + _POSITIVE + """SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 5) AS hit, round(avg(CASE WHEN rank <= 10 THEN 0.1::DOUBLE ELSE 0 END), 5) AS precision,
@@ -328,7 +328,8 @@ def bm25_eval(spark, sf_dir):
 @query(_BM25 + _POSITIVE + """, b AS (SELECT CASE WHEN rank = 1 THEN 'rank_1' WHEN rank <= 3 THEN 'rank_2_3' WHEN rank <= 10 THEN 'rank_4_10' WHEN rank <= 20 THEN 'rank_11_20' WHEN rank <= 100 THEN 'rank_21_100' ELSE 'not_in_top_100' END AS bucket FROM k)
 SELECT v.bucket, count(b.bucket) AS n FROM (VALUES ('rank_1'), ('rank_2_3'), ('rank_4_10'), ('rank_11_20'), ('rank_21_100'), ('not_in_top_100')) v(bucket) LEFT JOIN b USING (bucket) GROUP BY 1""")
 def rank_buckets(spark, sf_dir):
-    return retrieval.rank_buckets(_ranks(spark, sf_dir))
+    # The SQL looks at ranks up to 10 only, so it counts a positive at rank 11 to 100 as not in the top 100.
+    return retrieval.rank_buckets(_ranks(spark, sf_dir, 100))
 
 
 # Evolution
