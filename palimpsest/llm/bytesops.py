@@ -12,8 +12,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: A text longer than this is a chunk of its own.
-CHUNK = 1 << 20
+#: A text longer than this is a chunk of its own; a chunk has at most this many texts.
+CHUNK, ROWS = 1 << 20, 2048
 
 _R = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
@@ -68,7 +68,7 @@ def texts(col: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tuple
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + ROWS)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -34,18 +34,28 @@ def byte_grams(buf: np.ndarray, offs: np.ndarray, bits: int = 15, n: int = 3) ->
     return at >> bits, at & ((1 << bits) - 1)
 
 
-def word_grams(buf: np.ndarray, offs: np.ndarray, bits: int = 20, heads: tuple[int, ...] = (4, 5, 6)) -> Rows:
-    """(text, feature) of the distinct lower-cased words of each text, without marks, and of their beginnings."""
+def word_grams(buf: np.ndarray, offs: np.ndarray, bits: int = 20, heads: tuple[int, ...] = (4, 5, 6, 7)) -> Rows:
+    """(text, feature) of the distinct lower-cased words of each text, without marks, and of their beginnings.
+
+    A beginning is one feature where a word of the text has it and one more where two different words have it.
+    """
     clean = LOWER[buf]
     clean[_MARKS[clean]] = 32
     start, end, doc = words(clean, offs)
     pre = prefix(clean)
-    keys = [spans(pre, start, end)]
+    h = spans(pre, start, end)
+    order = np.lexsort((h, doc))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    start, end, doc, h = (x[order[new]] for x in (start, end, doc, h))
+    cell = lambda who, x: (who.astype(U) << U(bits)) | (x >> U(64 - bits))
+    keys = [cell(doc, mix(h))]
     for n in heads:
         long = end - start > n
-        keys.append(mix(spans(pre, start[long], start[long] + n) + U(n)))
-        keys[-1] = (doc[long].astype(U) << U(bits)) | (keys[-1] >> U(64 - bits))
-    keys[0] = (doc.astype(U) << U(bits)) | (mix(keys[0]) >> U(64 - bits))
+        head = mix(spans(pre, start[long], start[long] + n) + U(n))
+        keys.append(cell(doc[long], head))
+        found, count = np.unique(cell(doc[long], mix(head + U(1))), return_counts=True)
+        keys.append(found[count > 1])
     key = np.unique(np.concatenate(keys))
     return (key >> U(bits)).astype(np.int64), (key & U((1 << bits) - 1)).astype(np.int64)
 
@@ -87,6 +97,18 @@ def scores(docs: DataFrame, grams: Callable, score: Callable[[Rows, int], np.nda
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def passing(docs: DataFrame, test: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:
+    """The rows of docs whose whole text (null is empty) passes test(bytes, offsets, rows), in one pass without a join."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for lo, hi, buf, offs in texts(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(test(buf, offs, hi - lo)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(modulus: int):
     """crc32 of doc_id as text modulo a number; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus

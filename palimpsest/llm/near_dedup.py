@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm.bytesops import shingles, texts
 from palimpsest.llm.components import components
-from palimpsest.llm.storage import checked_join, join_groups, stage, unstage
+from palimpsest.llm.storage import checked_join, join_groups, numbered, stage, unstage
 
 #: Retained values of a sketch.
 K = 128
@@ -195,9 +195,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_near(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which one stays for each group, with their columns."""
-    gone = stage(near_groups(docs).filter("not kept").select("doc_id").distinct(), "gone")
-    return checked_join(docs, gone, "doc_id", "left_anti", 16)
+    """docs with one row of each group of near-duplicates, with its columns: the smallest doc_id, nulls last.
+
+    Rows are told apart by a number of their own, so repeated rows, null ids and ids that several texts share are
+    rows like others.
+    """
+    rows = numbered(docs, "numbered")
+    groups = near_groups(rows.select(F.col("_uid").alias("doc_id"), "_row.text")).select(F.col("doc_id").alias("_uid"), F.col("component_id").alias("c"))
+    sizes = stage(groups.groupBy("c").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    total = max(rows.count(), 1)
+    member = join_groups(groups, sizes, "c", "size", F.col("_uid"), total).filter("size is not null")
+    member = stage(checked_join(rows.select("_uid", F.col("_row.doc_id").alias("id")), member, "_uid", "inner", 32), "groups")
+    best = member.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_uid")).alias("best"), F.count("*").alias("many"))
+    gone = join_groups(member.select("_uid", "c"), best, "c", "many", F.col("_uid"), total).filter("best._uid <> _uid").select("_uid")
+    return checked_join(rows, stage(gone, "gone"), "_uid", "left_anti", 16).select("_row.*")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

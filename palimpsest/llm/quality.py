@@ -6,8 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.features import byte_grams, remainder, sample, scores
-from palimpsest.llm.storage import checked_join, stage
+from palimpsest.llm.features import byte_grams, passing, remainder, sample, scores
 
 BITS = 15
 #: Labelled rows that a fit reads at most.
@@ -83,6 +82,14 @@ def train(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return r, hinge(rows, y, r), slope, offset
 
 
+def _scorer(docs: DataFrame, labels: DataFrame, most: int):
+    """What turns n texts' features into probabilities, learnt from labelled rows outside the fold of remainder 0."""
+    known = labels.filter(remainder(FOLDS) != 0).select("doc_id", F.col("quality").cast("int").alias("y")).dropna()
+    rows, y = sample(docs, known, most, byte_grams, 5, np.uint16)
+    r, w, slope, offset = train(rows, y)
+    return lambda found, n: 1 / (1 + np.exp(-(slope * margins(found, n, w, r) + offset)))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text).
 
@@ -90,21 +97,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Da
     label or none to join are not learnt from. With labels of one class only, or none, all scores are the same.
     Null and empty texts have no n-grams and get the score of the bias. Repeated rows are scored alike.
     """
-    known = labels.filter(remainder(FOLDS) != 0).select("doc_id", F.col("quality").cast("int").alias("y")).dropna()
-    rows, y = sample(docs, known, most, byte_grams, 5, np.uint16)
-    r, w, slope, offset = train(rows, y)
-
-    def score(found, n):
-        return 1 / (1 + np.exp(-(slope * margins(found, n, w, r) + offset)))
-
-    out = scores(docs, byte_grams, score)
+    out = scores(docs, byte_grams, _scorer(docs, labels, most))
     return out.select("doc_id", (remainder(FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= TAKE).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, with their columns."""
-    gone = stage(quality_scores(docs, labels).filter("predicted = 0").select("doc_id").distinct(), "gone")
-    return checked_join(docs, gone, "doc_id", "left_anti", 16)
+def keep_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """The rows of docs that are not rejected, with their columns; each row is judged by its own text, whatever its id."""
+    score = _scorer(docs, labels, most)
+    return passing(docs, lambda buf, offs, n: score(byte_grams(buf, offs), n) >= TAKE)
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -17,9 +17,11 @@ HOT_SHARE = 2000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share; a temporary one where none is named and all run on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         atexit.register(shutil.rmtree, root[7:], True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -47,6 +49,11 @@ def unstage(*staged: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(_uid, _row): the rows of docs, each under a number of its own that is written with it and so never changes."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row")), name)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether df, counted, is certain to fit a broadcast; counting stops just above the bound."""
     most = limit // row_bytes

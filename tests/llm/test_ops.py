@@ -229,34 +229,65 @@ def test_span_dedup_cuts_long_sentences_alike(spark, every):
         assert len(left) <= 6 + k + 3 + 51 - 12
 
 
-def test_pfair_stays_within_a_block():
+@pytest.mark.parametrize("kind", [lambda r: r.randint(1, 50), lambda r: r.choice([1, 5000]), lambda r: 10 ** r.randint(0, 20)])
+def test_frames_follow_from_the_weights_alone(kind):
     rng = random.Random(1)
-    for _ in range(60):
-        weights = {f"s{i}": rng.randint(1, 50) for i in range(rng.randint(1, 12))}
-        slots = mixing.shares(weights, 64)
-        assert sum(slots.values()) == 64
-        plan = mixing.pfair(slots)
-        order = {t: s for s, ts in plan.items() for t in ts}
-        assert sorted(order) == list(range(64))
-        got = collections.Counter()
-        for t in range(64):
-            got[order[t]] += 1
-            assert all(abs(got[s] - n * (t + 1) / 64) < 1 for s, n in slots.items())
+    for _ in range(40):
+        whole = [kind(rng) for _ in range(rng.randint(1, 12))]
+        total, n = sum(whole), rng.randint(1, 500)
+        run = list(mixing.frame(whole, 0, n))
+        assert [t for *_, t in run] == list(range(n))
+        got, cut = [0] * len(whole), rng.randint(0, n)
+        for s, k, t in run:
+            if t == cut:
+                assert mixing.executed(whole, cut).tolist() == got
+            assert k == got[s]
+            got[s] += 1
+            assert all(abs(g * total - w * (t + 1)) < total for g, w in zip(got, whole, strict=True))
+        assert list(mixing.frame(whole, cut, n)) == run[cut:]
+
+
+def test_frames_of_many_sources_stay_within_a_block():
+    rng = random.Random(2)
+    whole = [rng.randint(1, 1000) for _ in range(2000)]
+    total, lo = sum(whole), 200 * 2000
+    got = mixing.executed(whole, lo)
+    assert got.sum() == lo
+    for s, k, t in mixing.frame(whole, lo, lo + 2000):
+        assert k == got[s]
+        got[s] += 1
+        if t % 97 == 0:
+            assert max(abs(int(g) * total - w * (t + 1)) for g, w in zip(got, whole, strict=True)) < total
 
 
 @pytest.mark.parametrize("weights", [{f"s{i}": 1 for i in range(20)}, {"s0": 0.99} | {f"s{i}": 0.01 / 255 for i in range(1, 256)}, {"s0": 1e-4, "s1": 2 / 3, "s2": 0.1, None: 7}])
 def test_phases_keep_the_given_weights(weights):
     total = sum(map(Fraction, weights.values()))
     share = {s: Fraction(w) / total for s, w in weights.items()}
-    blocks = {s: math.ceil(40_000 * w) + 1 for s, w in share.items()}
-    plan = mixing.phases(blocks, weights, 64)
-    order = {t: s for s, *_, ts in plan for t in ts}
-    assert sorted(order) == list(range(sum(blocks.values()))) and all(lo % 64 == 0 and hi - lo == len(ts) for _, lo, hi, ts in plan)
-    first = min(max(ts[-1] for x, *_, ts in plan if x == s) for s in weights) + 1
-    assert first > 20_000
-    for s, w in share.items():
-        for k, t in enumerate(t for x, *_, ts in plan if x == s for t in ts if t < first):
-            assert k > w * t - 1 and k + 1 < w * (t + 1) + 1
+    blocks = {s: math.ceil(20_000 * w) + 1 for s, w in share.items()}
+    seen, parts = {}, list(mixing.phases(blocks, weights))
+    for at, slots, names, whole, first, rest in parts:
+        for s, k, t in mixing.frame(whole, 0, slots, rest):
+            assert at + t not in seen
+            seen[at + t] = names[s], first[s] + k
+    assert sorted(seen) == list(range(sum(blocks.values()))) and len(set(seen.values())) == len(seen) and len(parts) <= len(weights)
+    first = parts[0][1]
+    assert first > 10_000
+    for t in range(first):
+        s, k = seen[t]
+        assert k > share[s] * t - 1 and k + 1 < share[s] * (t + 1) + 1
+
+
+def test_schedule_equals_one_run(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FRAME", 8)
+    monkeypatch.setattr(mixing, "PER_SOURCE", 1)
+    monkeypatch.setattr(mixing, "HELD", 20)
+    blocks, weights = {"a": 90, "b": 31, None: 7, "c": 1}, {"a": 3, "b": Fraction(1, 7), None: 0.5, "c": 1}
+    want = {}
+    for at, slots, names, whole, first, rest in mixing.phases(blocks, weights):
+        want |= {(names[s], first[s] + k): at + t for s, k, t in mixing.frame(whole, 0, slots, rest)}
+    got = {(r._s, r._part * 16 + i): t for r in mixing.schedule(spark, blocks, weights, 16).collect() for i, t in enumerate(r._slots)}
+    assert got == want
 
 
 def test_mix_sources(docs, none):
@@ -267,8 +298,15 @@ def test_mix_sources(docs, none):
         per[r.mix_slot].add((r.source, r.mix_block))
     assert all(len(x) == 1 for x in per.values()) and sorted(per) == list(range(len(per)))
     sizes = collections.Counter(r.source for r in got)
-    plan = mixing.phases({s: -(-n // 4) for s, n in sizes.items()}, mixing.tempered(sizes) | {"s1": 3, "s2": 1}, 16)
-    assert {s: max(p[2] for p in plan if p[0] == s) for s in sizes} == {s: -(-n // 4) for s, n in sizes.items()}
+    want = {}
+    for at, slots, names, whole, first, rest in mixing.phases({s: -(-n // 4) for s, n in sizes.items()}, mixing.tempered(sizes) | {"s1": 3, "s2": 1}):
+        want |= {(names[s], first[s] + k): at + t for s, k, t in mixing.frame(whole, 0, slots, rest)}
+    order = sorted(rows(), key=lambda r: (hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest(), r[0] or 0))
+    place = collections.Counter()
+    for d, _, _, source, _ in order:
+        k, at = divmod(place[source], 4)
+        place[source] += 1
+        assert any((r.doc_id, r.source, r.mix_block, r.mix_position) == (d, source, k, want[source, k] * 4 + at) for r in got)
     assert mixing.mix_sources(none).count() == 0
 
 
