@@ -415,11 +415,46 @@ def test_classifiers_hold_out(spark, docs, none, kind):
     pairs = [(got[r.doc_id].predicted, r[kind]) for r in lab.collect() if r.doc_id in got]
     right = sum(p == y for p, y in pairs) / len(pairs)
     assert right > 0.94
+    by = sorted((got[r.doc_id].score, r[kind]) for r in lab.collect() if r.doc_id in got)
+    up = [i for i, (_, y) in enumerate(by) if y == 1]
+    auc = (sum(up) - len(up) * (len(up) - 1) / 2) / (len(up) * (len(by) - len(up)))
+    recall = sum(p for p, y in pairs if y == 1) / len(up)
+    wrong = sum(p for p, y in pairs if y == 0) / (len(by) - len(up))
+    assert auc > 0.95 and recall > 0.85 and wrong < (0.02 if kind == "toxic" else 0.12), (auc, recall, wrong)
     empty = lab.limit(0)
     assert run(docs, empty).count() == len(rows()) and run(none, empty).count() == 0
     assert all(0 <= r.score <= 1 for r in run(docs, empty).collect())
 
 
+def test_unlabelled_sums_equal_one_pass(spark):
+    rng = np.random.default_rng(4)
+    sets = [np.flatnonzero(rng.random(9) < 0.3).astype(np.int32) for _ in range(50)]
+    table = [(bytearray(s.tobytes()), int(rng.integers(1, 5))) for s in sets]
+    w = rng.normal(size=10)
+    got = toxicity._unlabelled(spark.createDataFrame(table, "cols binary, n long"), w)
+    want = np.zeros(11)
+    for s, (_, n) in zip(sets, table, strict=True):
+        p = 1 / (1 + math.exp(-(w[s].sum() + w[-1])))
+        want[s] += n * p
+        want[9] += n * p
+        want[10] += n * math.log(1 - p + 1e-12)
+    assert np.allclose(got, want)
+
+
+def test_features_are_counted_over_all_texts(spark, docs):
+    from palimpsest.llm.features import word_grams
+
+    per = [set(word_grams(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[1].tolist()) for _, t, *_ in rows()]
+    every = np.array(sorted(set().union(*per)))
+    n, counts = toxicity._frequencies(docs, every)
+    assert n == len(rows()) and counts.tolist() == [sum(f in p for p in per) for f in every.tolist()]
+    column = np.full(1 << toxicity.BITS, -1, np.int32)
+    column[every[::3]] = np.arange(len(every[::3]))
+    want = collections.Counter(tuple(sorted(int(column[f]) for f in p if column[f] >= 0)) for p in per)
+    got = {tuple(np.frombuffer(r.cols, np.int32).tolist()): r.n for r in toxicity._vectors(docs, column).collect()}
+    assert {tuple(sorted(k)): v for k, v in got.items()} == want
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     start = docs = spark.read.parquet(f"{sf}/documents.parquet")
