@@ -30,11 +30,14 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def gzip_member(data: bytes, level: int = 6) -> bytes:
-    """One gzip member whose extra field 'sl' holds its compressed and plain lengths, so readers can skip it."""
+    """One gzip member whose extra field 'sl' holds its compressed and plain lengths, so readers can skip it.
+
+    A member that 32 bits cannot measure goes without the field; readers then inflate it to find its end.
+    """
     body = zlib.compressobj(level, zlib.DEFLATED, -15)
     packed = body.compress(data) + body.flush()
     total = 10 + 2 + 12 + len(packed) + 8
-    extra = b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    extra = b"sl" + struct.pack("<HII", 8, total, len(data)) if max(total, len(data)) < 1 << 32 else b""
     return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", len(extra)) + extra + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -201,10 +204,14 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes (record_id, warc_type, target_uri, warc_date, refers_to, payload_digest, headers, payload) rows."""
+    """Writes (record_id, warc_type, target_uri, warc_date, refers_to, payload_digest, headers, payload) rows.
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    A file's name tells the job that wrote it. Committing deletes what failed attempts of this job left; other
+    archives stay where they are, but for an overwrite, which deletes them once its own are written.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _store(self.path)
@@ -216,7 +223,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None or out.tell() > ROLL:
                         if out is not None:
                             out.close()
-                        paths.append(f"{root}/part-{uuid.uuid4().hex}.warc.gz")
+                        paths.append(f"{root}/part-{self.job}-{uuid.uuid4().hex}.warc.gz")
                         out = store.open_output_stream(paths[-1], compression=None)
                     out.write(gzip_member(self.render(row)))
         finally:
@@ -232,18 +239,18 @@ class WarcWriter(DataSourceArrowWriter):
             headers["WARC-Profile"], payload = PROFILE, b""
         return record(headers | dict(row.get("headers") or ()), http + payload)
 
-    def commit(self, messages: list[Written | None]) -> None:
+    def _clear(self, kept: set, every: bool) -> None:
         store, root = _store(self.path)
-        kept = {p for m in messages if m for p in m.paths}
         for x in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-            if x.path.endswith(".warc.gz") and x.path not in kept:
+            ours = x.base_name.startswith(f"part-{self.job}-")
+            if x.is_file and x.path not in kept and (ours or every and x.base_name.endswith((".warc", ".warc.gz"))):
                 store.delete_file(x.path)
 
+    def commit(self, messages: list[Written | None]) -> None:
+        self._clear({p for m in messages if m for p in m.paths}, self.overwrite)
+
     def abort(self, messages: list[Written | None]) -> None:
-        store, _ = _store(self.path)
-        for p in (p for m in messages if m for p in m.paths):
-            if store.get_file_info(p).is_file:
-                store.delete_file(p)
+        self._clear(set(), False)
 
 
 class WarcSource(DataSource):
@@ -260,7 +267,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
