@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,13 @@ from palimpsest.llm.bytesops import LOWER, U, mix, prefix, spans, texts, words
 from palimpsest.llm.features import remainder
 from palimpsest.llm.storage import stage
 
-STATES, ROUNDS = 8, 3
+STATES, ROUNDS = 8, 8
 #: Words that have a class of their own; all other words share ENDINGS classes by their last bytes.
 OWN, ENDINGS = 4000, 1024
 #: Words whose counts every task holds (16 bytes each); counts of all others are joined.
 HEAD = 300_000
-#: Tokens of the sample that breaks the symmetry of the states, and of a training piece.
-FIRST, PIECE = 400_000, 256
+#: Tokens of a training piece, and of pieces whose states are held at once.
+PIECE, TOKENS = 1024, 1 << 20
 FOLDS, HELD = 7, 2
 CLASSES = OWN + ENDINGS + 1
 END = CLASSES - 1
@@ -77,22 +78,35 @@ def forward(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: n
     return out
 
 
+def settled(move: np.ndarray) -> np.ndarray:
+    """The shares of the states far from a start."""
+    return np.linalg.matrix_power(move, 64).mean(0)
+
+
 def expected(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts of the sequences: starts, moves and emissions, in one vector."""
-    s = len(start)
-    pieces = [x[i : i + PIECE] for x in seqs for i in range(0, len(x), PIECE)]
-    pieces.sort(key=len, reverse=True)
-    starts, moves, emits = np.zeros(s), np.zeros((s, s)), np.zeros((CLASSES, s))
-    for lo in range(0, len(pieces), 4096):
-        part = pieces[lo : lo + 4096]
+    """Baum-Welch counts of the sequences: starts, moves and emissions, in one vector.
+
+    A sequence is counted in pieces of PIECE tokens. Only its first piece begins at the start probabilities and counts
+    as a start; the others begin at the settled ones, and the move across a cut is not counted.
+    """
+    s, rest = len(start), settled(move)
+    pieces = [(x[i : i + PIECE], i == 0) for x in seqs for i in range(0, len(x), PIECE)]
+    pieces.sort(key=lambda p: -len(p[0]))
+    ends = np.cumsum([len(p) for p, _ in pieces]) if pieces else []
+    starts, moves, emits = np.zeros(s), np.zeros((s, s)), np.zeros((len(emit), s))
+    lo = 0
+    while lo < len(pieces):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - len(pieces[lo][0]) + TOKENS, "right")))
+        part, head = [p for p, _ in pieces[lo:hi]], np.array([h for _, h in pieces[lo:hi]])
+        lo = hi
         size = np.array([len(p) for p in part])
-        grid = np.full((size[0], len(part)), END, np.int64)
+        grid = np.zeros((size[0], len(part)), np.int64)
         for i, p in enumerate(part):
             grid[: len(p), i] = p
         active = np.searchsorted(-size, -np.arange(size[0]), "left")
         alpha, scale = [], []
         for t, n in enumerate(active):
-            a = (np.broadcast_to(start, (n, s)) if t == 0 else alpha[-1][:n] @ move) * emit[grid[t, :n]]
+            a = (np.where(head[:, None], start, rest) if t == 0 else alpha[-1][:n] @ move) * emit[grid[t, :n]]
             scale.append(a.sum(1))
             alpha.append(a / scale[-1][:, None])
         beta = np.ones((active[-1], s))
@@ -104,11 +118,11 @@ def expected(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit:
             beta = np.ones((active[t - 1], s))
             beta[:n] = b @ move.T
             post.append(alpha[t - 1] * beta)
-        starts += post[-1].sum(0)
+        starts += post[-1][head].sum(0)
         kind = np.concatenate([grid[t, : active[t]] for t in range(len(active) - 1, -1, -1)])
         mass = np.concatenate(post)
         for k in range(s):
-            emits[:, k] += np.bincount(kind, weights=mass[:, k], minlength=CLASSES)
+            emits[:, k] += np.bincount(kind, weights=mass[:, k], minlength=len(emit))
     return np.concatenate((starts, (moves * move).ravel(), emits.ravel()))
 
 
@@ -119,16 +133,37 @@ def estimate(counts: np.ndarray, base: np.ndarray, s: int = STATES) -> tuple[np.
     return starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0)
 
 
-def begin(seqs: list[np.ndarray], base: np.ndarray, rounds: int = 15, seed: int = 0) -> tuple:
-    """A model whose states differ: each sequence starts out leaning to a state of its own, then Baum-Welch."""
-    rng = np.random.default_rng(seed)
+def leaning(seqs: list[bytes]) -> np.ndarray:
+    """Counts of a first guess in which each sequence leans to a state of its own, told by its CRC-32."""
     emits = np.zeros((CLASSES, STATES))
     for x in seqs:
-        np.add.at(emits[:, rng.integers(STATES)], x, 1.0)
-    emits = emits + 20 * base[:, None]
+        emits[:, zlib.crc32(x) % STATES] += np.bincount(np.frombuffer(x, np.uint16), minlength=CLASSES)
+    return np.concatenate((np.zeros(STATES + STATES * STATES), emits.ravel()))
+
+
+def summed(train: DataFrame, count) -> np.ndarray:
+    """count(list of sequences as bytes), a vector, summed over all of train (seq)."""
+    size = STATES + STATES * STATES + CLASSES * STATES
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            total += count(batch.column(0).to_pylist())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "x"])
+
+    sums = train.select("seq").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    total = np.zeros(size)
+    total[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
+    return total
+
+
+def fit(train: DataFrame, base: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A model of all sequences of train: a first guess by leaning(), then rounds of Baum-Welch over all of them."""
+    emits = summed(train, leaning)[STATES + STATES * STATES :].reshape(CLASSES, STATES) + 20 * base[:, None]
     model = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.02 / STATES) + 0.98 * np.eye(STATES), emits / emits.sum(0)
     for _ in range(rounds):
-        model = estimate(expected(seqs, *model), base) if seqs else model
+        model = estimate(summed(train, lambda seqs, model=model: expected([np.frombuffer(x, np.uint16) for x in seqs], *model)), base)
     return model
 
 
@@ -137,8 +172,9 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
 
     A word is emitted in two steps: the state emits its class (the word itself if it is one of the OWN most
     frequent, else its ending's), the class emits the word by its count plus one, an unseen word by one. Word counts,
-    class counts and Baum-Welch counts cover every training text whole, in pieces of PIECE tokens for training; the
-    score is the exact forward likelihood of the whole token sequence. Counts of the HEAD most frequent words go to
+    class counts, the first guess and each of ROUNDS rounds of Baum-Welch cover every training text whole, so the model
+    depends on the texts alone, not on how they are stored; the score is the exact forward likelihood of the whole
+    token sequence. Counts of the HEAD most frequent words go to
     every task; all others are joined by hash. Null and empty texts are one end; repeated rows are rows; a null
     doc_id belongs to the fold of the empty text. Words are told apart by 64-bit hashes.
     """
@@ -203,24 +239,7 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
                 uid += rows
 
     coded = stage(docs.select("doc_id", "text", "held").mapInArrow(encode, "uid long, doc_id long, held boolean, seq binary, n long, known long, head double, within double, tail array<struct<h:long,tf:int>>"), "coded")
-    train = coded.filter("not held").select("seq", "n")
-    few = max(1, int(ends * min(1.0, FIRST / max(n, 1))))
-    picked = coded.filter("not held").select("uid", "seq").orderBy(F.xxhash64("uid")).limit(few).toArrow().column("seq").to_pylist()
-    model = begin([np.frombuffer(x, np.uint16) for x in picked], base)
-
-    for _ in range(ROUNDS):
-
-        def gather(batches, model=model):
-            total = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
-            for batch in batches:
-                total += expected([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(0)], *model)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "x"])
-
-        sums = train.select("seq").mapInArrow(gather, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-        total = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
-        total[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
-        model = estimate(total, base)
+    model = fit(coded.filter("not held"), base)
 
     def score(batches):
         for batch in batches:

@@ -446,6 +446,42 @@ def test_forward_equals_enumeration():
     assert np.allclose(hmm.forward(seqs, start, move, emit), want)
 
 
+@pytest.mark.parametrize("piece", [1024, 2])
+def test_expected_counts_equal_enumeration(monkeypatch, piece):
+    import itertools
+
+    monkeypatch.setattr(hmm, "PIECE", piece)
+    monkeypatch.setattr(hmm, "TOKENS", 5)
+    rng = np.random.default_rng(1)
+    start, move, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.random((5, 3))
+    rest = hmm.settled(move)
+    assert np.allclose(rest @ move, rest)
+    seqs = [np.array([0, 3, 1]), np.array([4]), np.array([2, 2, 1, 0])]
+    starts, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for s in seqs:
+        for lo in range(0, len(s), piece):
+            x, begin = s[lo : lo + piece], start if lo == 0 else rest
+            ways = []
+            for path in itertools.product(range(3), repeat=len(x)):
+                q = begin[path[0]] * emit[x[0], path[0]]
+                for a, b, e in zip(path, path[1:], x[1:], strict=False):
+                    q *= move[a, b] * emit[e, b]
+                ways.append((q, path))
+            whole = sum(q for q, _ in ways)
+            for q, path in ways:
+                starts[path[0]] += q / whole if lo == 0 else 0
+                for a, b in zip(path, path[1:], strict=False):
+                    moves[a, b] += q / whole
+                for e, a in zip(x, path, strict=True):
+                    emits[e, a] += q / whole
+    assert np.allclose(hmm.expected(seqs, start, move, emit), np.concatenate((starts, moves.ravel(), emits.ravel())))
+
+
+def test_hmm_scores_do_not_depend_on_partitions(spark, docs):
+    key = lambda df: sorted((repr(r.doc_id), r.n_tokens, round(r.score, 6)) for r in hmm.hmm_scores(df).collect())
+    assert key(docs.coalesce(1)) == key(docs.orderBy("text").repartition(5))
+
+
 @pytest.mark.parametrize("kind", ["quality", "toxic"])
 def test_classifiers_hold_out(spark, docs, none, kind):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
