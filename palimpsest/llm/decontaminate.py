@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytesops import LOWER, prefix, spans, texts, words
-from palimpsest.llm.storage import checked_join, stage
+from palimpsest.llm.features import passing
+from palimpsest.llm.storage import stage
 
 K1, B = 1.2, 0.75
 #: Items of a block of the index, and of an index: a larger benchmark is searched index by index.
 BLOCK, SHARD = 4, 100_000
-#: A passage has twice as many words as the longest item, this at least, and starts at its middle again.
-PASSAGE = 128
+#: A passage has twice as many words as the longest item of its class, and starts at its middle again. The classes are
+#: items of up to SHORT words and then of up to twice as many each, so an item's passages depend on its own length.
+SHORT = 64
 #: Share of an item's own BM25 score that a passage must reach, and of both halves' 3-word shingles it must hold.
 SCORE, OVERLAP = 0.5, 0.5
 
@@ -47,38 +50,54 @@ def _grams(h: np.ndarray) -> set:
     return {tuple(x[i : i + 3]) for i in range(len(x) - 2)} or ({tuple(x)} if x else set())
 
 
+def _words(items: list[str]) -> list[np.ndarray]:
+    """Hashes of each item's words."""
+    out = [np.zeros(0, np.int64)] * len(items)
+    for lo, hi, buf, offs in texts(pa.array(items, pa.string())):
+        h, doc = _tokens(buf, offs)
+        ends = np.searchsorted(doc, np.arange(hi - lo + 1))
+        for i in range(hi - lo):
+            out[lo + i] = h[ends[i] : ends[i + 1]]
+    return out
+
+
+def _class(words_: int) -> int:
+    """Words of the longest item in the class of an item of so many words."""
+    size = SHORT
+    while size < words_:
+        size *= 2
+    return size
+
+
 class Index:
-    """Postings (item, impact) by term, with each block's largest impact; impacts are shares of an item's own score."""
-
-    def __init__(self, ids: list, items: list[str]):
-        col = pa.array(items, pa.string())
-        toks = [np.zeros(0, np.int64)] * len(items)
-        for lo, hi, buf, offs in texts(col):
-            h, doc = _tokens(buf, offs)
-            ends = np.searchsorted(doc, np.arange(hi - lo + 1))
-            for i in range(hi - lo):
-                toks[lo + i] = h[ends[i] : ends[i + 1]]
+    """Postings (item, impact) by term, with each block's largest impact; impacts are shares of an item's own score.
+
+    n items of mean words, df of which hold a term, are those of the whole benchmark, whatever part of it is indexed
+    here; left out, they are this part's. window: words of a passage, twice those of the longest item.
+    """
+
+    def __init__(self, ids: list, items: list[str], n: int | None = None, mean: float | None = None, df: dict | None = None):
+        toks = _words(items)
         self.ids, self.length = ids, np.array([len(t) for t in toks])
-        self.window = max(PASSAGE, 2 * int(self.length.max(initial=0)))
-        mean, df, tf = self.length.mean() if len(items) else 1.0, {}, []
-        for t in toks:
-            u, c = np.unique(t, return_counts=True)
-            tf.append((u.tolist(), c.tolist()))
-            for x in tf[-1][0]:
-                df[x] = df.get(x, 0) + 1
-        n = len(items)
-        self.terms = np.array(sorted(df), np.int64)
+        self.window = 2 * _class(int(self.length.max(initial=0)))
+        tf = [tuple(x.tolist() for x in np.unique(t, return_counts=True)) for t in toks]
+        if df is None:
+            df, n, mean = {}, len(items), self.length.mean() if len(items) else 1.0
+            for u, _ in tf:
+                for x in u:
+                    df[x] = df.get(x, 0) + 1
+        self.terms = np.array(sorted({x for u, _ in tf for x in u}), np.int64)
         number = {t: i for i, t in enumerate(self.terms.tolist())}
-        self.items = [[] for _ in df]
-        self.impacts = [[] for _ in df]
+        self.items = [[] for _ in number]
+        self.impacts = [[] for _ in number]
         for i, (u, c) in enumerate(tf):
             w = [math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * k * (K1 + 1) / (k + K1 * (1 - B + B * self.length[i] / mean)) for x, k in zip(u, c, strict=True)]
             own = sum(w)
             for x, y in zip(u, w, strict=True):
                 self.items[number[x]].append(i)
                 self.impacts[number[x]].append(y / own)
-        self.best = np.array([max(x) for x in self.impacts]) if df else np.zeros(0)
-        self.blocks = [{} for _ in df]
+        self.best = np.array([max(x) for x in self.impacts]) if number else np.zeros(0)
+        self.blocks = [{} for _ in number]
         for t, (at, w) in enumerate(zip(self.items, self.impacts, strict=True)):
             for i, x in zip(at, w, strict=True):
                 self.blocks[t][i // BLOCK] = max(x, self.blocks[t].get(i // BLOCK, 0.0))
@@ -142,6 +161,8 @@ class Index:
         mine = number[owner] >= 0
         who, what = number[owner[mine]], term[mine]
         out = np.zeros(len(some), bool)
+        if not len(some):
+            return out
         blocks = len(self.ids) // BLOCK + 1
         cuts = np.searchsorted(who, np.arange(0, len(some), max(1, 4_000_000 // blocks)))
         for lo, hi in zip(cuts, [*cuts[1:], len(who)], strict=True):
@@ -188,23 +209,59 @@ class Index:
         return found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _statistics(items: DataFrame) -> tuple[DataFrame, int, float]:
+    """(h, df) of every term of the benchmark, staged, the number of items and their mean words."""
+
+    def run(batches):
+        for batch in batches:
+            toks = _words(batch.column(0).to_pylist())
+            u = [np.unique(t) for t in toks]
+            h, c = np.unique(np.concatenate([*u, np.zeros(0, np.int64)]), return_counts=True)
+            size = np.array([sum(map(len, toks)), len(toks)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h, [0, 1])), pa.array(np.append(c, size)), pa.array(np.append(np.zeros(len(h), bool), [True, True]))], ["h", "c", "size"])
+
+    found = stage(items.select("text").mapInArrow(run, "h long, c long, size boolean").groupBy("size", "h").agg(F.sum("c").alias("df")), "terms")
+    size = {r.h: r.df for r in found.filter("size").collect()}
+    return found.filter("not size").select("h", "df"), size.get(1, 0), size.get(0, 0) / max(size.get(1, 0), 1) or 1.0
+
+
+def indexes(benchmark: DataFrame, shard: int | None = None) -> Iterator[Index]:
+    """The benchmark's indexes, one after another: of each class of lengths, of `shard` items at most or so.
+
+    All use the statistics of the whole benchmark, so neither the split nor other items' lengths change a result.
+    """
+    shard = shard or SHARD
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    terms, n, mean = _statistics(items)
+    parts = max(1, -(-n // shard))
+    split = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    for k in range(parts):
+        rows = sorted(map(tuple, (items.filter(split == k) if parts > 1 else items).collect()), key=lambda r: (r[0] is None, r))
+        toks = _words([r[1] for r in rows])
+        mine = pa.table({"h": np.unique(np.concatenate([*toks, np.zeros(0, np.int64)]))})
+        wanted = terms if parts == 1 else terms.join(benchmark.sparkSession.createDataFrame(mine.to_pandas()), "h", "left_semi")
+        found = wanted.toArrow()
+        df = dict(zip(found.column("h").to_pylist(), found.column("df").to_pylist(), strict=True))
+        by = {}
+        for r, t in zip(rows, toks, strict=True):
+            by.setdefault(_class(len(t)), []).append(r)
+        for size in sorted(by):
+            yield Index([r[0] for r in by[size]], [r[1] for r in by[size]], n, mean, df)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, shard: int | None = None) -> DataFrame:
     """(doc_id, item_id, n_passages, score, question_overlap, answer_overlap) of each item that a document leaks.
 
     Every passage of every whole text queries the index; block-max WAND returns all items of which it reaches SCORE
     of the item's own BM25 score; an item is leaked where the passage then holds OVERLAP of the 3-word shingles of
-    both its question and its answer. Passages overlap by half, so any stretch as long as an item lies within one.
-    Items are indexed SHARD at a time with the statistics of their index, so a task holds one bounded index. Null
-    and empty texts and items match nothing; repeated rows count their passages together; repeated items are items.
+    both its question and its answer. Passages overlap by half, so any stretch as long as an item lies within one;
+    their length is that of the item's class. Items are indexed SHARD at a time, so a task holds one bounded index at
+    once, with the statistics of the whole benchmark. Null and empty texts and items match nothing; repeated rows
+    count their passages together; repeated items are items.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    n = items.count()
-    shards = max(1, -(-n // SHARD))
-    split = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
     out = None
-    for k in range(shards):
-        rows = sorted(map(tuple, (items.filter(split == k) if shards > 1 else items).collect()), key=lambda r: (r[0] is None, r))
-        index = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+    for built in indexes(benchmark, shard):
+        index = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches, index=index):
             found = index.value
@@ -218,13 +275,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, q double, a double")
         out = hits if out is None else out.union(hits)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, q double, a double")
     return out.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_passages"), F.max("score").alias("score"), F.max("q").alias("question_overlap"), F.max("a").alias("answer_overlap"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item, with their columns."""
-    gone = stage(leaks(docs, benchmark).select("doc_id").distinct(), "gone")
-    return checked_join(docs, gone, "doc_id", "left_anti", 16)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, shard: int | None = None) -> DataFrame:
+    """The rows of docs that leak no item, with their columns; each row is judged by its own text, whatever its id."""
+    for built in indexes(benchmark, shard):
+        index = docs.sparkSession.sparkContext.broadcast(built)
+
+        def test(buf, offs, n, index=index):
+            keep = np.ones(n, bool)
+            keep[[r[0] for r in index.value.search(*_tokens(buf, offs), n)]] = False
+            return keep
+
+        docs = passing(docs, test)
+    return docs
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

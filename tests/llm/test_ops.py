@@ -416,6 +416,59 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def leak_brute(docs, items):
+    """(doc, item, passages) by scoring every item against every passage."""
+    mark = re.compile(r"""[.,;:!?"'()\[\]{}|*#%&$]""")
+    low = lambda t: "".join(c.lower() if c.isascii() else c for c in mark.sub(" ", t)).split()
+    toks = {i: low(t) for i, t in items if t is not None}
+    n, mean = len(toks), sum(map(len, toks.values())) / max(len(toks), 1)
+    df = collections.Counter(w for t in toks.values() for w in set(t))
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+    impact, halves = {}, {}
+    for i, text in items:
+        if text is None or not toks[i]:
+            continue
+        tf = collections.Counter(toks[i])
+        w = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(toks[i]) / mean)) for x, c in tf.items()}
+        impact[i] = {x: y / sum(w.values()) for x, y in w.items()}
+        raw, cut = text.encode(), decontaminate.halves(text)
+        halves[i] = [grams(low(x.decode("utf-8", "replace"))) for x in (raw[:cut], raw[cut:])]
+    out = collections.Counter()
+    for d, text in docs:
+        words = low(text or "")
+        for i, w in impact.items():
+            size = decontaminate._class(len(toks[i]))
+            for lo in range(0, max(1, -(-(len(words) - size) // size)) * size, size):
+                part = words[lo : lo + 2 * size]
+                if sum(w.get(x, 0) for x in set(part)) < 0.5 - 1e-12:
+                    continue
+                have = {tuple(part[k : k + m]) for m in (1, 2, 3) for k in range(len(part) - m + 1)}
+                if all(len(h & have) >= 0.5 * len(h) for h in halves[i]):
+                    out[d, i] += 1
+    return dict(out)
+
+
+@pytest.mark.parametrize("shard", [100_000, 7])
+def test_leaks_equal_brute_force(spark, shard):
+    rng = random.Random(12)
+    items = [(i, (f"{body(rng, rng.randint(1, 3))}? " if i % 2 else "") + body(rng, rng.choice([1, 2, 12, 30]))) for i in range(40)] + [(40, None), (41, ""), (42, "one")]
+    table = []
+    for d in range(60):
+        words = body(rng, rng.randint(0, 30)).split()
+        for _ in range(rng.randint(0, 2)):
+            item = items[rng.randrange(40)][1].split()
+            drop = rng.random() * 0.7
+            at = rng.randint(0, len(words))
+            words[at:at] = [w for w in item if rng.random() > drop]
+        table.append((d, " ".join(words), "en", "s", 1))
+    table += [(60, None, "en", "s", 1), (61, "", "en", "s", 1)]
+    docs, bench = spark.createDataFrame(table, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    want = leak_brute([r[:2] for r in table], items)
+    got = {(r.doc_id, r.item_id): r.n_passages for r in decontaminate.leaks(docs, bench, shard).collect()}
+    assert got == want and len(want) > 10
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, bench, shard).collect()} == {r[0] for r in table} - {d for d, _ in want}
+
+
 def test_hmm_base_scores(docs, none):
     token = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [None]
     fold = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 7
