@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import tempfile
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytesops import U, _power, mix, prefix, spans, texts
-from palimpsest.llm.storage import checked_join, join_groups, stage, unstage
+from palimpsest.llm.storage import checked_join, join_groups, small, stage, unstage
 
 #: Bytes of a repeated string, of an anchor within it, and windows on one side of an anchor.
 LENGTH, GRAM = 400, 64
@@ -23,7 +24,9 @@ HALF = PLACES // 2
 WORD = 100
 DEPTH = LENGTH // WORD
 #: Bytes of pieces that one construction takes, windows of a narrowed piece, and pieces beyond which a key is narrowed.
-BUCKET, NARROW, MANY = 512 << 10, 16, 2000
+BUCKET, NARROW, MANY = 512 << 10, 16, 400
+#: Rows of a file that a construction holds at once.
+BLOCK = 1 << 17
 CHUNK = 1 << 20
 
 
@@ -89,7 +92,7 @@ def _pieces(rows: DataFrame) -> DataFrame:
                 place = (first - offs[doc] + at).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + lo)), pa.array(key), pa.array(place), pa.array(size.astype(np.int16)), pa.array(ahead.astype(np.int16))], ["row", "key", "at", "windows", "ahead"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, key long, at long, windows short, ahead short")
+    return rows.select("row", "text").mapInArrow(run, "row binary, key long, at long, windows short, ahead short")
 
 
 def _bodies(rows: DataFrame) -> DataFrame:
@@ -104,10 +107,10 @@ def _bodies(rows: DataFrame) -> DataFrame:
                 key, at, windows, ahead = (spots.field(k).to_numpy() for k in range(4))
                 part = [body[a : a + w + LENGTH - 1] for a, w in zip(at.tolist(), windows.tolist(), strict=True)]
                 digest = [hashlib.blake2b(x, digest_size=16).digest() for x in part]
-                row = pa.array(np.full(len(at), batch.column(0)[i].as_py(), np.int64))
+                row = pa.array([batch.column(0)[i].as_py()] * len(at), pa.binary())
                 yield pa.RecordBatch.from_arrays([row, *map(pa.array, (key, at, windows, ahead)), pa.array(digest, pa.binary()), pa.array(part, pa.binary())], ["row", "key", "at", "windows", "ahead", "digest", "body"])
 
-    return rows.select("row", "text", "spots").mapInArrow(run, "row long, key long, at long, windows short, ahead short, digest binary, body binary")
+    return rows.select("row", "text", "spots").mapInArrow(run, "row binary, key long, at long, windows short, ahead short, digest binary, body binary")
 
 
 def _narrowed(pieces: DataFrame, keys: DataFrame) -> DataFrame:
@@ -140,88 +143,130 @@ def _narrowed(pieces: DataFrame, keys: DataFrame) -> DataFrame:
     return marked.select("key", "windows", "ahead", "digest", "body", "crowd").mapInArrow(run, "sort long, key long, digest binary, w int, windows int, body binary")
 
 
-def transform(bodies: list[bytes], windows: list[int], folder: str) -> list[np.ndarray]:
+def _symbols(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of the WORD bytes at each place, equal for equal bytes; their hashes are checked against the bytes."""
+    names = spans(prefix(data, 5), at, at + WORD)
+    _, first, symbol = np.unique(names, return_index=True, return_inverse=True)
+    symbol = symbol.astype(np.int64)
+    wide = np.zeros(len(data) - 7, U)
+    for i in range(8):
+        wide |= data[i : i + len(wide)].astype(U) << U(8 * i)
+    same, like = np.ones(len(at), bool), at[first[symbol]]
+    for i in [*range(0, WORD - 7, 8), WORD - 8]:
+        same &= wide[at + i] == wide[like + i]
+    others: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same):
+        symbol[i] = len(first) + others.setdefault(data[at[i] : at[i] + WORD].tobytes(), len(others))
+    return symbol
+
+
+def _blocks(path: str, kind) -> Iterator[np.ndarray]:
+    with open(path, "rb") as f:
+        while len(x := np.fromfile(f, kind, BLOCK)):
+            yield x
+
+
+def transform(bodies: list[bytes], windows: list[int] | np.ndarray, folder: str) -> list[np.ndarray]:
     """For each body, which of its windows also occur elsewhere in the bodies.
 
     Each body is a text of symbols of WORD bytes in each of WORD phases. The texts are read from their ends, one
     symbol of each a round. After a round, three files hold all suffixes so far in order: the suffix, the common
-    prefix with the one before it, and its first symbol with the place of the suffix that follows the symbol. That
-    last file is the transform, sorted: a new suffix's place follows from its symbol and the place of the one that
-    it extends. Each round reads the files from start to end and writes them anew with the new suffixes merged in.
+    prefix with the one before it (DEPTH at most), and its first symbol with the place of the suffix that follows the
+    symbol. That last file is the transform, sorted: a new suffix's place follows from its symbol and the place of
+    the one that it extends. Neighbours that begin alike share one symbol more than the suffixes that they extend,
+    which share the least of the prefixes between their places. Each round reads the files from start to end, BLOCK
+    rows at a time, and writes them anew with the new suffixes merged in.
     """
     data = np.frombuffer(b"".join(bodies), np.uint8)
-    size = np.array([len(b) for b in bodies])
-    start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    count = np.minimum(WORD, np.array(windows))
+    size = np.array([len(b) for b in bodies], np.int64)
+    start = np.cumsum(size) - size
+    windows = np.array(windows, np.int64)
+    count = np.minimum(WORD, windows)
     body = np.repeat(np.arange(len(bodies)), count)
     phase = np.arange(len(body)) - np.repeat(np.cumsum(count) - count, count)
     length = (size[body] - phase) // WORD
     base = np.cumsum(length) - length
     at = np.arange(length.sum()) - np.repeat(base, length)
     byte = np.repeat(start[body] + phase, length) + at * WORD
-    names = spans(prefix(data, 5), byte, byte + WORD)
-    symbol = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    ends, n = base + length, len(length)
-
-    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common symbols of suffixes a and b, DEPTH at most; -1 for no suffix has none."""
-        out = np.zeros(len(a), np.uint8)
-        left = np.flatnonzero((a >= 0) & (b >= 0))
-        stop_a, stop_b = stop[a[left]], stop[b[left]]
-        a, b = a[left], b[left]
-        for d in range(DEPTH):
-            ok = (a + d < stop_a) & (b + d < stop_b)
-            ok[ok] = symbol[a[ok] + d] == symbol[b[ok] + d]
-            left, a, b, stop_a, stop_b = left[ok], a[ok], b[ok], stop_a[ok], stop_b[ok]
-            out[left] += 1
-        return out
-
-    stop = np.repeat(ends, length)
+    flat = np.zeros(windows.sum(), bool)
+    first = np.concatenate(([0], np.cumsum(windows)))
+    if not len(byte):
+        return [flat[first[i] : first[i + 1]] for i in range(len(windows))]
+    symbol = _symbols(data, byte)
+    ends, n, mask = base + length, len(length), 0xFFFFFFFF
     name = {x: os.path.join(folder, x) for x in ("suffix", "prefix", "order")}
     kinds = {"suffix": np.int32, "prefix": np.uint8, "order": np.int64}
     for x, kind in kinds.items():
         np.zeros(0, kind).tofile(name[x])
     place = np.arange(n) - n
-    for turn in range(int(length.max(initial=0))):
+    for turn in range(int(length.max())):
         live = np.flatnonzero(length > turn)
-        suffix, lcp, order = (np.fromfile(name[x], kinds[x]) for x in ("suffix", "prefix", "order"))
         new = ends[live] - 1 - turn
         key = (symbol[new] << 32) + (place[live] + n)
         sort = np.argsort(key, kind="stable")
         key, new, live = key[sort], new[sort], live[sort]
-        spot = np.searchsorted(order, key)
-        put = spot + np.arange(len(spot))
-        total = len(order) + len(put)
-        old = np.ones(total, bool)
-        old[put] = False
-        old = np.flatnonzero(old)
-        moved = np.concatenate((np.arange(n), old + n))
-        merged = np.empty(total, np.int64)
-        merged[old] = (order & ~0xFFFFFFFF) | moved[order & 0xFFFFFFFF]
-        merged[put] = (key & ~0xFFFFFFFF) | moved[key & 0xFFFFFFFF]
-        rows = np.empty(total, np.int32)
-        rows[old], rows[put] = suffix, new
-        near = np.empty(total, np.uint8)
-        near[old] = lcp
-        touched = np.unique(np.concatenate((put, put + 1)))
-        touched = touched[touched < total]
-        near[touched] = common(np.where(touched > 0, rows[touched - 1], -1), rows[touched])
-        place[live] = put
-        for x, value in (("suffix", rows), ("prefix", near), ("order", merged)):
-            value.tofile(name[x] + ".new")
+        spot = np.zeros(len(key), np.int64)
+        for x in _blocks(name["order"], np.int64):
+            spot += np.searchsorted(x, key)
+        put = place[live] = spot + np.arange(len(spot))
+        low, seen = [[] for _ in range(DEPTH - 1)], 0
+        for x in _blocks(name["prefix"], np.uint8):
+            for d in range(1, DEPTH):
+                low[d - 1].append(np.flatnonzero(x < d) + seen)
+            seen += len(x)
+        low = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in low]
+
+        def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Common symbols of neighbours, from their keys and the prefixes of the round before."""
+            ok, p, q = a >> 32 == b >> 32, (a & mask) - n, (b & mask) - n
+            out = ok.astype(np.uint8)
+            ok &= p >= 0
+            for least in low:
+                ok &= np.searchsorted(least, p, "right") == np.searchsorted(least, q, "right")
+                out += ok
+            return out
+
+        def moved(p: np.ndarray) -> np.ndarray:
+            return np.where(p < n, p, p + np.searchsorted(spot, p - n, "right"))
+
+        files = {x: open(name[x] + ".new", "wb") for x in kinds}
+        lo = done = 0
+        last, fresh = -1, False
+        none = tuple(np.zeros(0, k) for k in kinds.values())
+        for rows, near, order in itertools.chain(zip(*(_blocks(name[x], k) for x, k in kinds.items()), strict=True), [none]):
+            to = int(np.searchsorted(spot, lo + len(rows))) if len(rows) else len(spot)
+            total = len(rows) + to - done
+            if not total:
+                continue
+            added = np.zeros(total, bool)
+            added[put[done:to] - lo - done] = True
+            keys, out, common = np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total, np.uint8)
+            keys[added], keys[~added] = key[done:to], order
+            out[added], out[~added] = new[done:to], rows
+            common[~added] = near
+            touched = added.copy()
+            touched[1:] |= added[:-1]
+            touched[0] |= fresh
+            common[touched] = shared(np.concatenate(([last], keys[:-1]))[touched], keys[touched])
+            last, fresh = keys[-1], added[-1]
+            lo, done = lo + len(rows), to
+            for x, value in (("suffix", out), ("prefix", common), ("order", (keys & ~mask) | moved(keys & mask))):
+                value.tofile(files[x])
+        for x, f in files.items():
+            f.close()
             os.replace(name[x] + ".new", name[x])
-    suffix, lcp = np.fromfile(name["suffix"], np.int32), np.fromfile(name["prefix"], np.uint8)
-    full = lcp >= DEPTH
-    full[:-1] |= full[1:]
-    again = suffix[full]
-    out = [np.zeros(w, bool) for w in windows]
-    offset = byte[again] - start[body[np.repeat(np.arange(n), length)[again]]]
-    owner = body[np.repeat(np.arange(n), length)[again]]
-    first = np.concatenate(([0], np.cumsum(windows)))
-    flat = np.zeros(first[-1], bool)
-    ok = offset < np.array(windows)[owner]
-    flat[first[owner[ok]] + offset[ok]] = True
-    return [flat[first[i] : first[i + 1]] for i in range(len(out))]
+    text = np.repeat(np.arange(n), length)
+    before = np.zeros(0, np.int32)
+    for rows, near in zip(_blocks(name["suffix"], np.int32), _blocks(name["prefix"], np.uint8), strict=True):
+        rows, near = np.concatenate((before, rows)), np.concatenate((np.zeros(len(before), np.uint8), near))
+        full = near >= DEPTH
+        full[:-1] |= full[1:]
+        again, before = rows[full], rows[-1:]
+        owner = body[text[again]]
+        offset = byte[again] - start[owner]
+        ok = offset < windows[owner]
+        flat[first[owner[ok]] + offset[ok]] = True
+    return [flat[first[i] : first[i + 1]] for i in range(len(windows))]
 
 
 def _repeats(pieces: DataFrame) -> DataFrame:
@@ -252,16 +297,39 @@ def _repeats(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(run, "key long, digest binary, w int, windows int")
 
 
+def _single(crowd: DataFrame) -> DataFrame:
+    """Like _repeats() for pieces whose key stays crowded after narrowing: every window of theirs on its own.
+
+    Such pieces share all but a few bytes, so one text's many variants would meet in one construction. Their windows
+    are counted under 128-bit hashes instead, however many there are.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                out += [(r["key"], r["digest"], r["w"] + i, hashlib.blake2b(r["body"][i : i + LENGTH], digest_size=16).digest()) for i in range(r["windows"])]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["key", "digest", "w", "window"])
+
+    single = stage(crowd.select("key", "digest", "w", "windows", "body").mapInArrow(run, "key long, digest binary, w int, window binary"), "windows")
+    again = stage(single.groupBy("window").agg(F.count("*").alias("size")).filter("size > 1"), "again")
+    hit = join_groups(single, again, "window", "size", F.struct("key", "digest", "w"), max(single.count(), 1)).filter("size is not null")
+    return hit.select("key", "digest", "w", F.lit(1).alias("windows"))
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), a row for each row of docs (doc_id, text).
 
     Removes every byte covered by a LENGTH-byte string that also starts elsewhere in any text, judged on the input.
     Texts are whole, as UTF-8; null is empty; strings do not cross texts. Windows are dealt out by the anchors they
     contain (see anchored); only pieces whose key occurs twice can repeat. Equal pieces are one with a count;
-    one that occurs twice repeats whole. The distinct pieces of a key that has several are sorted by transform(). Repeated rows repeat each other and lose all that is
+    one that occurs twice repeats whole. The distinct pieces of a key that has several are sorted by transform(), MANY of them at
+    most in one task: crowded keys are narrowed, and what stays crowded is counted window by window. Repeated rows repeat each other and lose all that is
     long enough; a null doc_id is a doc_id like others.
     """
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    rows = docs.select(F.unhex(F.md5(name)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = stage(_pieces(rows), "pieces")
     often = stage(pieces.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "often")
     total = max(pieces.count(), 1)
@@ -277,8 +345,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     keys = stage(keys, "keys")
     amount = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     parts = max(1, -(-amount // (8 * BUCKET)))
-    sort = _narrowed(distinct, keys).repartition(int(parts), "sort").sortWithinPartitions("sort")
-    alone = _repeats(sort)
+    narrow, crowds = _narrowed(distinct, keys), None
+    if not keys.filter(F.col("n") > MANY).isEmpty():
+        narrow = stage(narrow, "narrow")
+        crowds = stage(narrow.groupBy("sort").agg(F.count("*").alias("n")).filter(F.col("n") > MANY), "crowds")
+        if crowds.isEmpty():
+            crowds = None
+        else:
+            held = narrow.join(F.broadcast(crowds), "sort", "left") if small(crowds, 24) else join_groups(narrow, crowds, "sort", "n", F.struct("key", "digest", "w"), narrow.count())
+            crowds, narrow = held.filter("n is not null"), held.filter("n is null")
+    alone = _repeats(narrow.drop("n").repartition(int(parts), "sort").sortWithinPartitions("sort"))
+    if crowds is not None:
+        alone = alone.union(_single(crowds))
     copies = distinct.filter("size > 1").select("key", "digest", F.lit(0).alias("w"), F.col("windows").cast("int").alias("windows"))
     runs = alone.union(copies).groupBy("key", "digest").agg(F.collect_list(F.struct("w", "windows")).alias("runs"))
     runs = stage(runs.join(distinct.select("key", "digest", "size"), ["key", "digest"]).select(F.concat(F.col("key").cast("string").cast("binary"), "digest").alias("piece"), "size", "runs"), "runs")
@@ -304,7 +382,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum(2 * np.bincount(who[go], minlength=len(n))))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs))], ["row", "cuts"])
 
-    cuts = stage(hit.mapInArrow(merge, "row long, cuts array<long>"), "cuts")
+    cuts = stage(hit.mapInArrow(merge, "row binary, cuts array<long>"), "cuts")
     unstage(bodies, distinct, runs)
 
     def keep(batches):

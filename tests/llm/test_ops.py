@@ -130,6 +130,46 @@ def suffix_brute(table, length=400):
     return sorted(map(repr, out))
 
 
+@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 3])
+def test_transform_equals_brute_force(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(6)
+    for _ in range(6 if block > 3 else 2):
+        base = [bytes(rng.choices(b"ab", k=rng.randint(400, 900))) for _ in range(3)]
+        bodies = list(base)
+        for _ in range(6):
+            b = rng.choice(base)
+            lo = rng.randint(0, len(b) - 400)
+            part = bytearray(b[lo : rng.randint(lo + 400, len(b))])
+            if rng.random() < 0.7:
+                part[rng.randrange(len(part))] = 99
+            bodies.append(bytes(rng.choices(b"ab", k=rng.randint(0, 90))) + bytes(part))
+        count = collections.Counter(b[i : i + 400] for b in bodies for i in range(len(b) - 399))
+        want = [[count[b[i : i + 400]] > 1 for i in range(len(b) - 399)] for b in bodies]
+        got = suffix_dedup.transform(bodies, [len(b) - 399 for b in bodies], str(tmp_path))
+        assert [g.tolist() for g in got] == want and any(map(any, want))
+    assert suffix_dedup.transform([], [], str(tmp_path)) == []
+
+
+def test_symbols_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "spans", lambda pre, a, b: np.zeros(len(a), np.uint64))
+    data = np.frombuffer(bytes(random.Random(1).choices(b"abc", k=300)) * 2, np.uint8)
+    at = np.arange(len(data) - 99)
+    got = suffix_dedup._symbols(data, at)
+    words = [data[i : i + 100].tobytes() for i in at]
+    assert len(set(got.tolist())) == len(set(words)) and all(got[i] == got[words.index(w)] for i, w in enumerate(words))
+
+
+def test_suffix_dedup_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", 3)
+    rng = random.Random(8)
+    shared = body(rng, 14)
+    table = [(i, f"{rng.random()} " * rng.randint(0, 3) + shared + f" {rng.random()} {body(rng, 3)}", "en", "s", 1) for i in range(24)]
+    table.append((24, shared[30:-20], "en", "s", 1))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(table, SCHEMA)).collect()]
+    assert sorted(map(repr, got)) == suffix_brute(table)
+
+
 @pytest.mark.parametrize("many", [2000, 1])
 def test_suffix_dedup(spark, docs, none, monkeypatch, many):
     monkeypatch.setattr(suffix_dedup, "MANY", many)
