@@ -34,6 +34,13 @@ def byte_grams(buf: np.ndarray, offs: np.ndarray, bits: int = 15, n: int = 3) ->
     return at >> bits, at & ((1 << bits) - 1)
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Which of sorted values are the first of their kind."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
 def word_grams(buf: np.ndarray, offs: np.ndarray, bits: int = 20, heads: tuple[int, ...] = (4, 5, 6, 7)) -> Rows:
     """(text, feature) of the distinct lower-cased words of each text, without marks, and of their beginnings.
 
@@ -44,20 +51,20 @@ def word_grams(buf: np.ndarray, offs: np.ndarray, bits: int = 20, heads: tuple[i
     start, end, doc = words(clean, offs)
     pre = prefix(clean)
     h = spans(pre, start, end)
-    order = np.lexsort((h, doc))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    start, end, doc, h = (x[order[new]] for x in (start, end, doc, h))
-    cell = lambda who, x: (who.astype(U) << U(bits)) | (x >> U(64 - bits))
-    keys = [cell(doc, mix(h))]
+    order = np.argsort((doc.astype(U) << U(48)) | (h >> U(16)))
+    one = order[_firsts(((doc.astype(U) << U(48)) | (h >> U(16)))[order])]
+    start, end, h, text = start[one], end[one], h[one], doc[one].astype(U) << U(bits)
+    head, size, mask = [], end - start, U((1 << bits) - 1)
     for n in heads:
-        long = end - start > n
-        head = mix(spans(pre, start[long], start[long] + n) + U(n))
-        keys.append(cell(doc[long], head))
-        found, count = np.unique(cell(doc[long], mix(head + U(1))), return_counts=True)
-        keys.append(found[count > 1])
-    key = np.unique(np.concatenate(keys))
-    return (key >> U(bits)).astype(np.int64), (key & U((1 << bits) - 1)).astype(np.int64)
+        long = np.flatnonzero(size > n)
+        head.append(text[long] | (mix(spans(pre, start[long], start[long] + n) + U(n)) >> U(64 - bits)))
+    head = np.sort(np.concatenate(head))
+    first = _firsts(head)
+    again = head[first & np.append(~first[1:], False)]
+    again = (again & ~mask) | (mix((again & mask) + U(1)) >> U(64 - bits))
+    key = np.sort(np.concatenate((text | (mix(h) >> U(64 - bits)), head[first], again)))
+    key = key[_firsts(key)]
+    return (key >> U(bits)).astype(np.int64), (key & mask).astype(np.int64)
 
 
 def sample(docs: DataFrame, rows: DataFrame, most: int, grams: Callable, seed: int, kind: type = np.int32) -> tuple[list[np.ndarray], np.ndarray]:

@@ -609,6 +609,33 @@ def test_unlabelled_sums_equal_one_pass(spark):
     assert np.allclose(got, want)
 
 
+def test_word_grams_equal_plain_sets():
+    from palimpsest.llm.bytesops import mix
+    from palimpsest.llm.bytesops import texts as chunks
+    from palimpsest.llm.features import word_grams
+
+    def number(word, n=None):
+        b = np.frombuffer(word, np.uint8)
+        from palimpsest.llm.bytesops import prefix, spans
+
+        h = spans(prefix(b), np.array([0]), np.array([len(b) if n is None else n]))
+        return int((mix(h) if n is None else mix(h + np.uint64(n)))[0] >> np.uint64(44))
+
+    import pyarrow as pa
+
+    table = [t for _, t, *_ in rows()] + ["", "réeuxment réeuxpa (réeuxment) réeux", "x" * 9]
+    got = []
+    for lo, hi, buf, offs in chunks(pa.array(table, pa.string())):
+        at, f = word_grams(buf, offs)
+        got += [set(f[at == i].tolist()) for i in range(hi - lo)]
+    for t, g in zip(table, got, strict=True):
+        marked = bytes(32 if chr(b) in ".,;:!?\"'()[]{}" else b for b in (t or "").encode().lower())
+        words = set(re.findall(rb"[^\x20\x09-\x0D]+", marked))
+        heads = collections.Counter(number(w, n) for n in (4, 5, 6, 7) for w in words if len(w) > n)
+        twice = {int(mix(np.array([h], np.uint64) + np.uint64(1))[0] >> np.uint64(44)) for h, c in heads.items() if c > 1}
+        assert g == {number(w) for w in words} | set(heads) | twice
+
+
 def test_features_are_counted_over_all_texts(spark, docs):
     from palimpsest.llm.features import word_grams
 
