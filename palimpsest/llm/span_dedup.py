@@ -113,7 +113,8 @@ def span_dedup(docs: DataFrame) -> DataFrame:
     shortest run of RUN consecutive ones or more that has LEAST_WORDS words or more is hashed to 128 bits and joined
     over all documents. The run with the smallest (doc_id, row hash, position) is the first of its key; pieces that
     any other run of the key covers are removed, and the text that stays is what lies outside them. n_removed counts
-    the sentences that lose a piece or part of one. Texts that are shorter than such a run are left alone. Null and empty texts have no sentences and stay empty; a null
+    the sentences that lose a piece or part of one. Texts that are shorter than such a run are left alone. A row is known by its doc_id
+    and a 64-bit hash of its text together. Null and empty texts have no sentences and stay empty; a null
     doc_id comes last; repeated rows are one row and keep or lose the same sentences.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -121,7 +122,7 @@ def span_dedup(docs: DataFrame) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "row", "at")
     groups = spans.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("size")).filter("size > 1")
     again = join_groups(spans, stage(groups, "groups"), "key", "size", F.struct("row", "at"), max(spans.count(), 1)).filter(F.col("first").isNotNull() & (F.col("first") != place))
-    gone = stage(again.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("ats")), "gone")
+    gone = stage(again.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set("at")).alias("ats")), "gone")
     unstage(spans)
 
     def cut(batches):
@@ -151,7 +152,9 @@ def span_dedup(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(lost, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_sentences", "n_removed", "kept_text"])
 
     weight = gone.agg(F.sum(F.lit(64) + 4 * F.size("ats"))).first()[0] or 0
-    held = rows.join(F.broadcast(gone) if weight <= BROADCAST_BYTES else gone, "row", "left").select("doc_id", "text", "ats")
+    gone = gone.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "ats")
+    same = (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    held = rows.join(F.broadcast(gone) if weight <= BROADCAST_BYTES else gone, same, "left").select("doc_id", "text", "ats")
     return held.mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, kept_text string")
 
 
