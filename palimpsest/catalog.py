@@ -203,10 +203,10 @@ def fallback_windows(spark, sf_dir):
 # Dense retrieval
 
 
-def _dense(spark, sf_dir):
+def _dense(spark, sf_dir, k=10, queries="vec_id % 100 = 0"):
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    return retrieval.dense_scores(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv")))
+    q = e.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return retrieval.dense_top(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv")), k)
 
 
 _DENSE = """WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, q.label AS ql, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
@@ -217,7 +217,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 
 @query(_DENSE + "SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM r WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
-    return retrieval.top_k(_dense(spark, sf_dir), 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _dense(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT vec_id AS doc_id, round(list_dot_product((SELECT embedding FROM embeddings WHERE vec_id = 7)::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM embeddings WHERE vec_id % 4 = 1 ORDER BY 2 DESC, 1 LIMIT 10""")
@@ -232,8 +232,9 @@ def dense_search_commit(spark, sf_dir):
 m AS (SELECT query_id, min(k) FILTER (label = ql) AS first, count(*) FILTER (label = ql AND k <= 10) AS hits FROM o GROUP BY 1)
 SELECT round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END), 5) AS hit, round(avg(hits / 10.0::DOUBLE), 5) AS precision, round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE / first ELSE 0 END), 5) AS mrr FROM m""")
 def dense_label_eval(spark, sf_dir):
+    # Ranks beyond 10 count for none of the measures; one more than 10 makes up for the query itself.
     lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    s = _dense(spark, sf_dir).filter("query_id <> doc_id")
+    s = _dense(spark, sf_dir, 11).filter("query_id <> doc_id")
     s = s.join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(lab.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
     k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id")))
     m = s.withColumn("k", k).groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("ql"), F.col("k"))).alias("first"), F.count_if((F.col("label") == F.col("ql")) & (F.col("k") <= 10)).alias("hits"))
@@ -244,14 +245,14 @@ def dense_label_eval(spark, sf_dir):
 o AS (SELECT *, row_number() OVER (ORDER BY margin, query_id) AS k, count(*) OVER () AS n FROM m)
 SELECT query_id, margin FROM o WHERE k <= ceil(n * 0.25::DOUBLE)""")
 def ambiguous_queries(spark, sf_dir):
-    return retrieval.ambiguous(retrieval.top_k(_dense(spark, sf_dir), 10), 0.25)
+    return retrieval.ambiguous(_dense(spark, sf_dir), 0.25)
 
 
 @query(_DENSE + """, h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS place FROM r WHERE rank <= 3),
 u AS (SELECT query_id, doc_id, 0 AS p, place AS o FROM h UNION ALL SELECT query_id, doc_id, 1, rank FROM r WHERE rank <= 10 AND rank > 3)
 SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY p, o))::BIGINT AS rank, (1001 - row_number() OVER (PARTITION BY query_id ORDER BY p, o))::BIGINT AS score FROM u""")
 def selective_rerank(spark, sf_dir):
-    ranked = retrieval.top_k(_dense(spark, sf_dir), 10)
+    ranked = _dense(spark, sf_dir)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
     head = ranked.filter("rank <= 3").withColumn("place", place).select("query_id", "doc_id", "place")
     return retrieval.rerank_merge(ranked, head).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.col("score").cast("long").alias("score"))
@@ -284,9 +285,12 @@ def evolution_search_grouped(spark, sf_dir):
 # BM25
 
 
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def _bm25(spark, sf_dir, depth=10):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.top_k(retrieval.bm25_scores(q, table(spark, sf_dir, "documents").select("doc_id", "text")), depth)
+    return retrieval.bm25_top(_items(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), depth)
 
 
 _BM25 = r"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM documents),
@@ -308,15 +312,13 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _positive(spark, sf_dir):
+    held = retrieval.holding(_items(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return held.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+
+
 def _ranks(spark, sf_dir, depth=10):
-    # Items are found in documents by their first five words, so the pairs come from an equi-join, then contains.
-    words = lambda: F.split(F.col("text"), r"\s+")
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), F.array_join(F.slice(words(), 2, 3), " ").alias("g"))
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", words().alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    d = d.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("g"))
-    positive = d.join(b, "g").filter(F.contains(F.col("text"), F.col("item"))).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
-    return retrieval.positives(_bm25(spark, sf_dir, depth), positive, depth)
+    return retrieval.positives(_bm25(spark, sf_dir, depth), _positive(spark, sf_dir), depth)
 
 
 @query(_BM25 + _POSITIVE + """SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 5) AS hit, round(avg(CASE WHEN rank <= 10 THEN 0.1::DOUBLE ELSE 0 END), 5) AS precision,
@@ -325,10 +327,9 @@ def bm25_eval(spark, sf_dir):
     return retrieval.measures(_ranks(spark, sf_dir))
 
 
-@query(_BM25 + _POSITIVE + """, b AS (SELECT CASE WHEN rank = 1 THEN 'rank_1' WHEN rank <= 3 THEN 'rank_2_3' WHEN rank <= 10 THEN 'rank_4_10' WHEN rank <= 20 THEN 'rank_11_20' WHEN rank <= 100 THEN 'rank_21_100' ELSE 'not_in_top_100' END AS bucket FROM k)
+@query(_BM25 + _POSITIVE.replace("r.rank <= 10", "r.rank <= 100") + """, b AS (SELECT CASE WHEN rank = 1 THEN 'rank_1' WHEN rank <= 3 THEN 'rank_2_3' WHEN rank <= 10 THEN 'rank_4_10' WHEN rank <= 20 THEN 'rank_11_20' WHEN rank <= 100 THEN 'rank_21_100' ELSE 'not_in_top_100' END AS bucket FROM k)
 SELECT v.bucket, count(b.bucket) AS n FROM (VALUES ('rank_1'), ('rank_2_3'), ('rank_4_10'), ('rank_11_20'), ('rank_21_100'), ('not_in_top_100')) v(bucket) LEFT JOIN b USING (bucket) GROUP BY 1""")
 def rank_buckets(spark, sf_dir):
-    # The SQL looks at ranks up to 10 only, so it counts a positive at rank 11 to 100 as not in the top 100.
     return retrieval.rank_buckets(_ranks(spark, sf_dir, 100))
 
 
