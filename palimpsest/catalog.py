@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.functions import text as X
-from palimpsest.operators import chunking, diff, evolution, graph, retrieval, router, scan
+from palimpsest.operators import chunking, diff, evolution, graph, retrieval, scan
 from palimpsest.plans.spread import spread
 
 QUERIES: dict = {}
@@ -220,14 +220,6 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""SELECT vec_id AS doc_id, round(list_dot_product((SELECT embedding FROM embeddings WHERE vec_id = 7)::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM embeddings WHERE vec_id % 4 = 1 ORDER BY 2 DESC, 1 LIMIT 10""")
-def dense_search_commit(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    s = retrieval.dense_scores(q, e.filter("vec_id % 4 = 1").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv")))
-    return s.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
-
-
 @query(_DENSE + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS k FROM s WHERE query_id <> doc_id),
 m AS (SELECT query_id, min(k) FILTER (label = ql) AS first, count(*) FILTER (label = ql AND k <= 10) AS hits FROM o GROUP BY 1)
 SELECT round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END), 5) AS hit, round(avg(hits / 10.0::DOUBLE), 5) AS precision, round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE / first ELSE 0 END), 5) AS mrr FROM m""")
@@ -445,22 +437,12 @@ def enclosing_parent(spark, sf_dir):
     return graph.enclosing(s).select("path", "symbol", "parent")
 
 
-_ASKED = ["Where is openSettings used", "Which files call save before validate", "explain retry logic", "token refresh endpoint", "Find setupDevice calls handler"]
-
-
-@query("""SELECT * FROM (VALUES ('Where is openSettings used', 'usage'), ('Which files call save before validate', 'structural'), ('explain retry logic', 'semantic'), ('token refresh endpoint', 'mixed'), ('Find setupDevice calls handler', 'usage')) t(question, query_type)""")
-def router_classify(spark, sf_dir):
-    q = spark.createDataFrame([(x,) for x in _ASKED], "question string")
-    return q.select("question", router.query_type(F.col("question")).alias("query_type"))
-
-
 @query("""WITH s AS (SELECT d.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id = 5),
 k AS (SELECT * FROM s ORDER BY score DESC, id DESC LIMIT 30), x AS (SELECT vec_id AS id FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 5)),
 m AS (SELECT id, (score - (SELECT min(score) FROM k)) / greatest((SELECT max(score) - min(score) FROM k), 1e-9::DOUBLE) AS s FROM k)
 SELECT coalesce(m.id, x.id) AS id, CASE WHEN x.id IS NULL THEN 'semantic' ELSE 'reference' END AS evidence, round(coalesce(m.s, 0) + CASE WHEN x.id IS NULL THEN 0 ELSE 0.4::DOUBLE END, 6) AS score FROM m FULL JOIN x ON m.id = x.id""")
 def fusion(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id = 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    s = retrieval.dense_scores(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv"))).orderBy(F.desc("score"), F.desc("doc_id")).limit(30)
+    s = _dense(spark, sf_dir, 30, "vec_id = 5")
     same = e.join(F.broadcast(e.filter("vec_id = 5").select("label")), "label")
     return graph.fuse(s.select(F.col("doc_id").alias("id"), "score"), same.select(F.col("vec_id").alias("id"), F.lit("reference").alias("evidence")), "mixed")

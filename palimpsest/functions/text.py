@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANK = r"[\t\f\x0B\x1C-\x1F \x85\p{Z}]"
+# Token patterns, and what stands before texts that are encoded.
 BASIC = r"[A-Za-z0-9_]+"
 CODE = r"[A-Za-z_][A-Za-z0-9_]*|\d+|==|!=|<=|>=|[-+*/%]=?|[(){}\[\].,:]"
 
+QUERY_PROMPT = "Find the most relevant code snippet given the following query:\n"
+DOCUMENT_PROMPT = "Candidate code snippet:\n"
+
 
 def normalize(text: Column) -> Column:
     """LF line ends, no blanks at line ends, no blank lines at either end, one final newline unless empty."""
@@ -61,3 +65,22 @@ def percent(part: Column, whole: Column) -> Column:
 
 def slug(text: Column) -> Column:
     return F.regexp_replace(text, r"[^A-Za-z0-9._-]", "_")
+
+
+def row_text(title: Column, text: Column, strip: bool = True) -> Column:
+    """Title and text on lines of their own, as an encoder reads them; ranking by terms takes them unstripped."""
+    both = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.regexp_replace(both, r"(?U)\A\s+|\s+\z", "") if strip else both
+
+
+def query_prompt(text: Column) -> Column:
+    return F.concat(F.lit(QUERY_PROMPT), text)
+
+
+def document_prompt(text: Column) -> Column:
+    return F.concat(F.lit(DOCUMENT_PROMPT), text)
+
+
+def cache_key(text: Column) -> Column:
+    """A question without case and spacing, for caches that may take such questions as one."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))

@@ -98,6 +98,18 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top_k(_union(found, corpus.sparkSession), k)
 
 
+def dense_top_by(queries: DataFrame, corpus: DataFrame, by: str, k: int) -> DataFrame:
+    """dense_top() within each value of a column of the corpus, such as a commit; its values are few.
+
+    Stored by that column, a corpus is read one partition at a time.
+    """
+    values = [r[0] for r in corpus.select(by).distinct().orderBy(by).collect()]
+    out = corpus.sparkSession.createDataFrame([], SCORED + ", rank int").withColumn(by, F.lit(None).cast(corpus.schema[by].dataType))
+    for x in values:
+        out = out.union(dense_top(queries, corpus.filter(F.col(by).eqNullSafe(F.lit(x))), k).withColumn(by, F.lit(x).cast(corpus.schema[by].dataType)))
+    return out.select("query_id", by, "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def dense_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): exact dot products of a stated query set (query_id, qv) against all (doc_id, dv).
 
