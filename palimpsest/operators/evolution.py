@@ -14,22 +14,27 @@ def states(occurrences: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def transitions(occurrences: DataFrame, commits: DataFrame) -> DataFrame:
-    """(key, ord, transition): one row a change or continuation, a single deleted row a gap.
+    """(key, ord, old, new, transition): one row a change or continuation, a single deleted row a gap.
 
-    A key that is back after a gap is reintroduced if this very content was there before, else added.
+    occurrences (key, ord, content) have one row a key and commit, commits (ord) number the versions. A key that is
+    back after a gap is reintroduced if this very content was there before, else added. Only what is there is sorted:
+    a key's rows meet their neighbours, and a gap is a step of more than one commit; no grid of keys and commits.
     """
-    w = Window.partitionBy("key").orderBy("ord")
-    before = Window.partitionBy("key", "content").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = states(occurrences, commits).withColumn("old", F.lag("content").over(w)).withColumn("seen", F.count("content").over(before))
-    kind = (
-        F.when(F.col("content").isNull() & F.col("old").isNotNull(), "deleted")
-        .when(F.col("content").isNull(), None)
-        .when(F.col("old").isNull() & (F.col("seen") > 0), "reintroduced")
-        .when(F.col("old").isNull(), "added")
-        .when(F.col("old") == F.col("content"), "unchanged")
-        .otherwise("modified")
-    )
-    return rows.select("key", "ord", "old", F.col("content").alias("new"), kind.alias("transition")).filter("transition is not null")
+    place = commits.select("ord", (F.row_number().over(Window.orderBy("ord")) - 1).alias("_at"))
+    last = F.coalesce(F.max("_at"), F.lit(-1)).alias("_last")
+    here = occurrences.filter("content is not null").join(place, "ord").crossJoin(F.broadcast(place.agg(last)))
+    w = Window.partitionBy("key").orderBy("_at")
+    same = Window.partitionBy("key", "content").orderBy("_at")
+    rows = here.withColumn("_seen", F.row_number().over(same) > 1).withColumn("_before", F.lag("_at").over(w)).withColumn("_old", F.lag("content").over(w)).withColumn("_after", F.lead("_at").over(w))
+    joins = F.col("_before") == F.col("_at") - 1
+    old = F.when(joins, F.col("_old"))
+    kind = F.when(old.isNull() & F.col("_seen"), "reintroduced").when(old.isNull(), "added").when(old == F.col("content"), "unchanged").otherwise("modified")
+    stays = F.struct(F.col("_at").alias("at"), old.alias("old"), F.col("content").alias("new"), kind.alias("transition"))
+    goes = F.struct((F.col("_at") + 1).alias("at"), F.col("content").alias("old"), F.lit(None).cast(occurrences.schema["content"].dataType).alias("new"), F.lit("deleted").alias("transition"))
+    leaves = (F.col("_at") < F.col("_last")) & (F.col("_after").isNull() | (F.col("_after") > F.col("_at") + 1))
+    out = rows.select("key", F.explode(F.when(leaves, F.array(stays, goes)).otherwise(F.array(stays))).alias("t"))
+    # Commits are few beside occurrences; Spark broadcasts their numbers by size.
+    return out.join(place, F.col("t.at") == F.col("_at")).select("key", "ord", "t.old", "t.new", "t.transition")
 
 
 def interesting(changes: DataFrame, limit: int = 5) -> DataFrame:

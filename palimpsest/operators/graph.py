@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 EDGES = "array<struct<kind:string,name:string,line:int,column:int>>"
@@ -56,12 +58,71 @@ def references(edges: DataFrame, terms: list[str], limit: int) -> DataFrame:
     return kept.withColumn("evidence", F.when(F.col("kind") == "symbols", "definition").otherwise("reference")).drop("_t", "_b", "_r")
 
 
+def _parents(rows: list[tuple]) -> list[str | None]:
+    """For spans (start, end, symbol) in order of start and falling end, the symbol of the shortest strictly longer one around each.
+
+    A tree over ends holds, for each end and beyond, the shortest span so far; spans with one start and end see what
+    came before all of them.
+    """
+    ends = sorted({e for _, e, _ in rows}, reverse=True)
+    place = {e: i + 1 for i, e in enumerate(ends)}
+    tree: list[tuple | None] = [None] * (len(ends) + 1)
+    out, held, at = [], [], None
+    for start, end, symbol in rows:
+        if (start, end) != at:
+            for s, e, x in held:
+                new, i = (e - s, s, x), place[e]
+                while i < len(tree):
+                    if tree[i] is None or new < tree[i]:
+                        tree[i] = new
+                    i += i & -i
+            held, at = [], (start, end)
+        held.append((start, end, symbol))
+        best, i = None, place[end]
+        while i:
+            if tree[i] is not None and (best is None or tree[i] < best):
+                best = tree[i]
+            i -= i & -i
+        out.append(best[2] if best else None)
+    return out
+
+
 def enclosing(spans: DataFrame) -> DataFrame:
-    """spans (path, symbol, start, end) with parent, the symbol of the shortest strictly longer span around each."""
-    y = spans.select("path", F.col("symbol").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    around = (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")) & (F.col("_e") - F.col("_s") > F.col("end") - F.col("start"))
-    best = spans.join(y, "path").filter(around).groupBy("path", "symbol", "start", "end").agg(F.min_by("_p", F.struct(F.col("_e") - F.col("_s"), "_s", "_p")).alias("parent"))
-    return spans.join(best, ["path", "symbol", "start", "end"], "left")
+    """spans (path, symbol, start, end) with parent, the symbol of the shortest strictly longer span around each.
+
+    Of equals the first one by start, then symbol. A path's spans are read once in order of their starts, so the work
+    of a file of n spans is n log n, and no pairs are made. Null symbols are empty here; rows without both ends are
+    left out.
+    """
+    own = spans.filter("start is not null and end is not null").select(F.col("path").cast("string").alias("_p"), F.col("start").cast("long").alias("_s"), F.col("end").cast("long").alias("_e"), F.coalesce("symbol", F.lit("")).alias("_y"), F.struct("*").alias("_row"))
+    kind = own.schema["_row"].dataType
+
+    def run(batches):
+        held: list[tuple] = []
+        parts: list[pa.Array] = []
+        found: list[str | None] = []
+        at = None
+        for batch in batches:
+            paths, starts, ends, names = (batch.column(i).to_pylist() for i in range(4))
+            closed = 0
+            for i, path in enumerate(paths):
+                if path != at:
+                    found += _parents(held)
+                    held, at, closed = [], path, i
+                held.append((starts[i], ends[i], names[i]))
+            if found:
+                rows = pa.concat_arrays([*parts, batch.column(4).slice(0, closed)])
+                yield pa.RecordBatch.from_arrays([rows, pa.array(found, pa.string())], ["row", "parent"])
+                found, parts = [], []
+                parts.append(batch.column(4).slice(closed))
+            else:
+                parts.append(batch.column(4))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(parts), pa.array(_parents(held), pa.string())], ["row", "parent"])
+
+    sort = own.repartition("_p").sortWithinPartitions("_p", "_s", F.desc("_e"))
+    out = sort.mapInArrow(run, StructType([StructField("row", kind), StructField("parent", StringType())]))
+    return out.select("row.*", "parent")
 
 
 def fuse(semantic: DataFrame, structural: DataFrame, query_type: str) -> DataFrame:
@@ -69,9 +130,8 @@ def fuse(semantic: DataFrame, structural: DataFrame, query_type: str) -> DataFra
 
     Scores are scaled to their range; evidence adds its boost; what both found is mixed.
     """
-    lo, hi = semantic.agg(F.min("score"), F.max("score")).first()
-    lo, span = float(lo or 0), max(float(hi or 0) - float(lo or 0), 1e-9)
-    sem = semantic.select("id", ((F.col("score") - lo) / span).alias("s"))
+    range_ = semantic.agg(F.min("score").alias("_lo"), F.greatest(F.max("score") - F.min("score"), F.lit(1e-9)).alias("_span"))
+    sem = semantic.crossJoin(F.broadcast(range_)).select("id", ((F.col("score") - F.col("_lo")) / F.col("_span")).alias("s"))
     boost = F.when(F.col("evidence") == "structural", 0.90).when(F.lit(query_type == "structural"), 0.15).otherwise(0.35)
     bonus = F.when(F.lit(query_type == "usage") & F.col("evidence").isin("reference", "call", "definition"), 0.15).otherwise(0.0)
     kinds = structural.groupBy("id").agg(F.sum(boost + bonus).alias("b"), F.countDistinct("evidence").alias("k"), F.max("evidence").alias("e"))

@@ -132,3 +132,81 @@ def test_binary(spark):
     rows = [(1, b""), (2, b"plain\n"), (3, b"a\0"), (4, "éééé".encode())]
     got = {r.i: r.b for r in spark.createDataFrame(rows, "i int, c binary").select("i", scan.is_binary(F.col("c")).alias("b")).collect()}
     assert got == {1: False, 2: False, 3: True, 4: True}
+
+
+def test_enclosing_equals_brute_force(spark):
+    import random
+
+    from palimpsest.operators import graph
+
+    rng = random.Random(3)
+    rows = [(f"p{rng.randrange(9)}", f"s{i}", a := rng.randrange(30), a + rng.randrange(1, 25)) for i in range(400)] + [("one", None, 1, 2), ("none", "x", None, 3)]
+    rows += [("big", f"n{i}", i, 4000 - i) for i in range(2000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    got = {(r.path, r.symbol): r.parent for r in graph.enclosing(spark.createDataFrame(rows, "path string, symbol string, start int, end int")).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = {}
+    for p, s, a, b in rows[:401]:
+        around = [(y[3] - y[2], y[2], y[1]) for y in rows[:401] if y[0] == p and y[2] <= a and y[3] >= b and y[3] - y[2] > b - a]
+        want[p, s] = min(around)[2] if around else None
+    want |= {("big", f"n{i}"): f"n{i - 1}" if i else None for i in range(2000)}
+    assert got == want
+    assert graph.enclosing(spark.createDataFrame([], "path string, symbol string, start int, end int")).count() == 0
+
+
+def test_transitions_without_a_grid(spark):
+    from palimpsest.operators import evolution
+
+    rows = [("a", 10, "x"), ("a", 20, "x"), ("a", 40, "x"), ("b", 20, "y"), ("b", 30, "z"), ("c", 40, "w"), ("d", 20, None), ("e", 10, "p"), ("e", 30, "q")]
+    commits = spark.createDataFrame([(x,) for x in (10, 20, 30, 40)], "ord long")
+    got = sorted(map(tuple, evolution.transitions(spark.createDataFrame(rows, "key string, ord long, content string"), commits).collect()))
+    want = [
+        ("a", 10, None, "x", "added"), ("a", 20, "x", "x", "unchanged"), ("a", 30, "x", None, "deleted"), ("a", 40, None, "x", "reintroduced"),
+        ("b", 20, None, "y", "added"), ("b", 30, "y", "z", "modified"), ("b", 40, "z", None, "deleted"), ("c", 40, None, "w", "added"),
+        ("e", 10, None, "p", "added"), ("e", 20, "p", None, "deleted"), ("e", 30, None, "q", "added"), ("e", 40, "q", None, "deleted"),
+    ]
+    assert got == sorted(want, key=str) or sorted(map(str, got)) == sorted(map(str, want))
+    empty = spark.createDataFrame([], "key string, ord long, content string")
+    assert evolution.transitions(empty, commits).count() == 0 and evolution.transitions(empty, commits.limit(0)).count() == 0
+
+
+def test_ranking_in_scans_equals_plain_scores(spark):
+    import collections
+    import math
+    import random
+    import re
+
+    from palimpsest.operators import retrieval
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(700)] + [(700, None), (701, ""), (None, "w1 w2"), (702, "W1 é w1é _x " * 9)]
+    asked = [(i, " ".join(rng.choices(words, k=6))) for i in range(12)] + [(12, "absent"), (13, None), (14, "w1 w1 w1"), (15, "")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+    toks = [(i, [x.lower() for x in re.findall("[A-Za-z0-9_]+", t or "")]) for i, t in docs]
+    n, avg = len(toks), sum(len(t) for _, t in toks) / len(toks)
+    df = collections.Counter(x for _, t in toks for x in set(t))
+    want = {}
+    for i, text in asked:
+        scores = []
+        for doc, t in toks:
+            tf = collections.Counter(t)
+            both = [x.lower() for x in re.findall("[A-Za-z0-9_]+", text or "") if x.lower() in tf]
+            if both and doc is not None:
+                scores.append((round(sum(math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * tf[x] / (tf[x] + 1.5 * (0.25 + 0.75 * len(t) / avg)) for x in both), 6), doc))
+        want |= {(i, r + 1): doc for r, (_, doc) in enumerate(sorted(scores, reverse=True)[:10])}
+    got = retrieval.bm25_top(q, d, 10)
+    assert {(r.query_id, r.rank): r.doc_id for r in got.collect()} == want
+    plain = retrieval.top_k(retrieval.bm25_scores(q, d.filter("doc_id is not null or text is not null"), ), 10)
+    assert plain.count() >= got.count()
+    retrieval.QUERY_BLOCK, kept = 5, retrieval.QUERY_BLOCK
+    assert {(r.query_id, r.rank): r.doc_id for r in retrieval.bm25_top(q, d, 10).collect()} == want
+    held = {(r.query_id, r.doc_id) for r in retrieval.holding(q, d.filter("doc_id is not null")).collect()}
+    retrieval.QUERY_BLOCK = kept
+    assert held == {(i, doc) for i, t in asked for doc, text in docs if t is not None and text is not None and doc is not None and t in text}
+    assert retrieval.bm25_top(q.limit(0), d, 3).count() == 0 and retrieval.bm25_top(q, d.limit(0), 3).count() == 0 and retrieval.holding(q, d.limit(0)).count() == 0
+    e = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(50)] + [(50, None)], "doc_id long, dv array<float>")
+    v = spark.createDataFrame([(1, [1.0, 0.0, 2.0]), (2, [0.0, 0.0, 0.0]), (3, None)], "query_id long, qv array<float>")
+    best = lambda f: sorted(((i % 7) + 2.0 * (i % 3) if f == 1 else 0.0, i) for i in range(50))[::-1][:8]
+    assert {(r.query_id, r.rank): (r.score, r.doc_id) for r in retrieval.dense_top(v, e, 8).collect()} == {(f, k + 1): x for f in (1, 2) for k, x in enumerate(best(f))}
+    assert retrieval.dense_top(v.limit(0), e, 3).count() == 0
