@@ -23,6 +23,10 @@ FILES = (
 EDGES = "commit string, kind string, name string, version_id string, path string, symbol string, start_line int, end_line int, line int, column int"
 EVENTS = "repo_id string, repo_path string, commit string, seq long, at string"
 REPORTS = "repo_id string, commit string, reuse_percentage double, work_reduction double, generated long, at string"
+COUNTS = (
+    "unchanged_occurrences", "modified_replaced_occurrences", "added_occurrences", "removed_occurrences", "reused_vectors", "vectors_newly_inserted", "vectors_tombstoned", "active_vectors_after_update",
+)
+INDEX_REPORTS = f"repo_id string, before string, commit string, {', '.join(f'{c} long' for c in COUNTS)}, at string"
 #: Questions whose vectors are remembered, and how deep each version is searched at least.
 REMEMBERED, DEPTH = 128, 20
 
@@ -168,6 +172,7 @@ class Engine:
         chunk = {r.status: r.n for r in diff.chunk_diff(old, new).groupBy("status").agg(F.count("*").alias("n")).collect()}
         counts = diff.index_update(old, new, known).first().asDict()
         self._note(repo_id, path, commit)
+        tables.append_log(self.spark, f"{self.root}/index_reports", [(repo_id, before, commit, *(counts[c] for c in COUNTS), self._now())], INDEX_REPORTS)
         return {
             "repo": repo_id, "previous_commit": before, "new_commit": commit, "changed_files": {k: changed.get(k, 0) for k in ("unchanged", "modified", "added", "deleted")},
             "reusable_chunks": chunk.get("reused", 0), "chunk_reuse_percent": 100.0 * chunk.get("reused", 0) / max(got["chunks"], 1),
@@ -227,6 +232,16 @@ class Engine:
         trace += [{"stage": "refine", "remaining_candidates": fused.count()}, {"stage": "rank", "returned": top.count()}]
         return shown.select("rank", "score", "path", "start_line", "end_line", "symbol", "chunk_type", "commit", "snippet", "evidence", "content_id", "version_id", "referenced").orderBy("rank"), trace
 
+    def query_commits(self, repo_id: str, question: str, commits: list[str], k: int = 5) -> dict[str, tuple[DataFrame, list[dict]]]:
+        """query() of the same question on several commits; its vector is made once."""
+        return {commit: self.query(repo_id, question, commit, k) for commit in dict.fromkeys(commits)}
+
+    def search_commits(self, repo_id: str, question: str, commits: list[str], k: int = 5) -> DataFrame:
+        """The k occurrences nearest to the question in each of several commits, scored in one job."""
+        wanted = list(dict.fromkeys(self._indexed(repo_id, c)[0] for c in commits))
+        hits = self._hits(repo_id, self._vector(question), wanted, k)
+        return hits.select("commit", "rank", "score", "path", "symbol", "chunk_type", "content_id", "version_id").orderBy("commit", "rank")
+
     # Through versions
 
     def _chains(self, repo_id: str, commits: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -274,6 +289,15 @@ class Engine:
         status = F.when(F.col("content").isNull(), "absent").otherwise("present").alias("status")
         return grid.select("ord", names, status, "path", "symbol", F.col("content").alias("content_id"), "version_id").orderBy("ord"), changes.filter(F.col("key") == key).select("ord", names, "transition", "old", "new", "lines_added", "lines_removed").orderBy("ord")
 
+    def write_evolution(self, repo_id: str) -> str:
+        """Writes the repository's states and transitions as tables beside it, numbered by commit; where they are."""
+        _, commits, _ = self._record(repo_id)
+        states, changes = self._chains(repo_id, commits)
+        names = F.element_at(F.lit(commits), (F.col("ord") + 1).cast("int")).alias("commit")
+        for df, name in ((states, "states"), (changes, "transitions")):
+            df.withColumn("commit", names).write.mode("overwrite").parquet(f"{self._at(repo_id, 'evolution')}/{name}")
+        return self._at(repo_id, "evolution")
+
     # About the engine
 
     def health(self) -> dict:

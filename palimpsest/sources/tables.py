@@ -57,3 +57,13 @@ def chunk_header(chunks: DataFrame) -> DataFrame:
         F.max(F.when(whole, F.col("mean"))).alias("mean_chars"),
         F.max(F.when(whole, F.col("median"))).alias("median_chars"),
     )
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Files by path; chunks by path, first line and version_id: the order in which lists of them are written."""
+    return rows.orderBy(*[c for c in ("commit", "path", "start_line", "version_id") if c in rows.columns])
+
+
+def path_part(name: str) -> str:
+    """A name as one part of a path: separators and colons become underscores, all else stays."""
+    return name.translate(str.maketrans("\\/:", "___"))

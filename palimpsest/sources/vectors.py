@@ -100,3 +100,15 @@ def embed_missing(contents: DataFrame, encode: Encoder, path: str, config: dict,
     missing = contents.dropDuplicates(["content_id"]).join(known.select("content_id"), "content_id", "left_anti")
     write_vectors(embed(missing, encode), path, mark, dim)
     return read_vectors(spark, path, mark).join(contents.select("content_id").distinct(), "content_id", "left_semi")
+
+
+def compatible(entries: DataFrame, config: dict, dim: int) -> DataFrame:
+    """entries (content_id, fingerprint, vec) with usable: of this model and its settings, of dim finite numbers."""
+    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok = (F.col("fingerprint") == fingerprint(config)) & (F.size("vec") == dim) & fine
+    return entries.withColumn("usable", F.coalesce(ok, F.lit(False)))
+
+
+def probe(spark: SparkSession, path: str, content_ids: list[str], other: dict) -> bool:
+    """Whether the store would give vectors of another model or settings for these contents; it must not."""
+    return not read_vectors(spark, path, fingerprint(other)).filter(F.col("content_id").isin(content_ids)).isEmpty()
