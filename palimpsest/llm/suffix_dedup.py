@@ -405,3 +405,20 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+p AS (SELECT r, unnest(range(0, octet_length(t) - 399)) AS i, t FROM h WHERE octet_length(t) >= 400),
+w AS (SELECT r, i, md5(t[i + 1:i + 400]) AS k FROM p),
+g AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+x AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM w WHERE k IN (FROM g)),
+y AS (SELECT r, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS s FROM x),
+z AS (SELECT r, s, min(i) AS a, max(i) + 400 AS b FROM y GROUP BY 1, 2),
+c AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM z),
+k AS (SELECT r, string_agg(hex(t[before + 1:a]), '' ORDER BY a) AS head, max(b) AS tail, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans
+  FROM c JOIN h USING (r) GROUP BY r)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || hex(t[coalesce(tail, 0) + 1:octet_length(t)]))) AS kept_sha256
+FROM h LEFT JOIN k USING (r)
+"""

@@ -16,6 +16,7 @@ from palimpsest.llm import decontaminate, exact_dedup, hmm, mixing, near_dedup,
 from palimpsest.llm.storage import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SCHEMA_NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 WORDS = [a + b for a in "th on er st wh re in an ed ha".split() for b in "ing ble tion ly es ou".split()]
 
 
@@ -650,6 +651,120 @@ def test_features_are_counted_over_all_texts(spark, docs):
     assert {tuple(sorted(k)): v for k, v in got.items()} == want
 
 
+ODD = [(2, "same id first text of its own and more words here"), (2, "the id two again with quite another text beside it"), (None, "no id but text that stands twice in this table now"), (5, "no id but text that stands twice in this table now "), (None, "no id but text that stands twice in this table now")]
+ODD += [(7, "repeated row with its words one two three four"), (7, "repeated row with its words one two three four"), (None, None), (None, ""), (8, None), (9, "alone " * 3)]
+ODD += [(20 + i, " ".join(f"w{j}" for j in range(60)) + f" x{i}") for i in range(3)] + [(None, " ".join(f"w{j}" for j in range(60)) + " y"), (20, " ".join(f"v{j}" for j in range(30)))]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids, repeated rows, and columns named like those that stages work with."""
+    table = [(d, t, "en", "s", len(t or ""), i, f"r{i}", t, i) for i, (d, t) in enumerate(ODD)]
+    return spark.createDataFrame(table, SCHEMA + ", _uid int, _row string, norm string, h int")
+
+
+def kept_by(groups):
+    return {min(g, key=lambda i: (ODD[i][0] is None, ODD[i][0] or 0, i)) for g in groups}
+
+
+def test_keep_exact_judges_rows(odd):
+    out = exact_dedup.keep_exact(odd)
+    assert out.columns == odd.columns
+    groups = collections.defaultdict(list)
+    for i, (_, t) in enumerate(ODD):
+        groups[strip(t)].append(i)
+    want = set()
+    for g in groups.values():
+        longest = max(len(ODD[i][1] or "") for i in g)
+        want |= kept_by([[i for i in g if len(ODD[i][1] or "") == longest]])
+    rows_ = out.collect()
+    assert len(rows_) == len(groups)
+    same = lambda i: (ODD[i][0], strip(ODD[i][1]))
+    assert sorted(map(repr, (same(r.h) for r in rows_))) == sorted(map(repr, map(same, want)))
+    assert all((r.doc_id, r.text) == ODD[r.h] and r._uid == r.h and r._row == f"r{r.h}" for r in rows_)
+
+
+def test_keep_near_judges_rows(odd):
+    out = near_dedup.keep_near(odd)
+    assert out.columns == odd.columns
+    brute = near_brute([(i, t, "en", "s", 0) for i, (_, t) in enumerate(ODD)])
+    groups = collections.defaultdict(list)
+    for i, (_, root) in brute.items():
+        groups[root].append(i)
+    rows_ = out.collect()
+    assert len(rows_) == len(groups)
+    name = lambda i: (ODD[i][0], brute[i][1])
+    assert sorted(map(repr, (name(r.h) for r in rows_))) == sorted(map(repr, map(name, kept_by(groups.values()))))
+
+
+def test_keep_quality_and_clean_judge_rows(spark, odd):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    both = d.withColumn("h", d.doc_id).unionByName(odd.select(*SCHEMA_NAMES, "h").withColumn("h", odd.h + 10**6), allowMissingColumns=True)
+    from palimpsest.llm.features import byte_grams
+
+    score, want = quality._scorer(both, lab, quality.SAMPLE), []
+    for r in both.select("h", "text").collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        want += [r.h] if score(byte_grams(raw, np.array([0, len(raw)])), 1)[0] >= 0.3 else []
+    kept = [r.h for r in quality.keep_quality(both, lab).collect()]
+    assert sorted(kept) == sorted(want) and 0 < len(kept) < both.count()
+    bench = spark.createDataFrame([(1, ODD[2][1] + " "), (2, None)], "item_id long, text string")
+    assert {r.h for r in decontaminate.keep_clean(odd, bench).collect()} == set(range(len(ODD))) - {2, 3, 4}
+
+
+def test_stages_of_no_rows(spark, odd):
+    none = odd.limit(0)
+    lab, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "what is this? it is that")], "item_id long, text string")
+    for out in (exact_dedup.keep_exact(none), near_dedup.keep_near(none), quality.keep_quality(none, lab), decontaminate.keep_clean(none, bench), decontaminate.keep_clean(none, bench.limit(0))):
+        assert out.count() == 0 and out.columns == odd.columns
+    assert decontaminate.keep_clean(odd, bench.limit(0)).count() == len(ODD)
+
+
+def test_hinge_reaches_the_optimum():
+    rng = np.random.default_rng(3)
+    y = np.where(rng.random(60) < 0.4, 1, -1)
+    rows_ = [np.flatnonzero(rng.random(12) < (0.5 if label > 0 and rng.random() < 0.7 else 0.25)) for label in y]
+    r = quality.ratios(rows_, y, 12)
+    p, q = np.ones(12), np.ones(12)
+    for f, label in zip(rows_, y, strict=True):
+        for k in f:
+            (p if label > 0 else q)[k] += 1
+    assert np.allclose(r, np.log(p / p.sum()) - np.log(q / q.sum()))
+    x = np.zeros((60, 13))
+    for i, f in enumerate(rows_):
+        x[i, f], x[i, 12] = r[f], 1
+        x[i] /= np.linalg.norm(x[i])
+    cost = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
+    value = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    w, best = np.zeros(13), np.inf
+    for t in range(1, 40_000):
+        w = w - (w - ((cost * y * (y * (x @ w) < 1))[:, None] * x).sum(0)) / (t + 10)
+        best = min(best, value(w)) if t % 50 == 0 else best
+    got = quality.hinge(rows_, y, r, epochs=500)
+    assert value(got) <= best * 1.005
+    m = quality.margins((np.repeat(np.arange(60), [len(f) for f in rows_]), np.concatenate(rows_)), 60, got, r)
+    assert np.allclose(m, x @ got)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(21)
+    long = " ".join(sentence(rng, 9) for _ in range(30_000))
+    table = [(1, long, "en", "s", 1), (2, long.upper(), "en", "s", 1), (3, "short text of only a few words", "en", "s", 1), (4, long + " tail", "en", "s", 1)]
+    big = spark.createDataFrame(table, SCHEMA)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(big).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(big).collect()} == {1: (len(long), len(long)), 2: (len(long), 0), 3: (30, 0), 4: (len(long) + 5, len(long))}
+    assert {r.doc_id: r.group_size for r in exact_dedup.exact_groups(big).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    spans = {r.doc_id: r for r in span_dedup.span_dedup(big).collect()}
+    assert spans[1].n_removed == 0 and spans[2].n_removed == spans[2].n_sentences and spans[3].n_removed == 0
+    item = " ".join(long.split()[100_000:100_040])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(big, bench).collect()} == {1, 2, 4}
+    scores_ = {r.doc_id: r for r in hmm.hmm_scores(big).collect()}
+    assert scores_[1].n_tokens == len(long.split()) + 1 and scores_[1].score < scores_[3].score
+    lab = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.quality_scores(big, lab).count() == 4 and toxicity.toxicity_scores(big, lab).count() == 4
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     start = docs = spark.read.parquet(f"{sf}/documents.parquet")
