@@ -20,8 +20,8 @@ SCHEMA = "record_id string, warc_type string, target_uri string, warc_date strin
 #: Columns that come from a header of the record.
 FIELDS = {"record_id": "WARC-Record-ID", "warc_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes after which a task starts its next archive, and of small archives that one reading task takes.
-ROLL, GROUP = 64 << 20, 32 << 20
+#: Bytes after which a task starts its next archive, of small archives that one reading task takes, and of a part of a large one.
+ROLL, GROUP, SPLIT = 64 << 20, 32 << 20, 256 << 20
 PROBE = 4096
 
 
@@ -72,7 +72,11 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
 
 @dataclass
 class Files(InputPartition):
+    """Whole archives, or the records of one that begin at byte lo or later and before hi."""
+
     paths: tuple
+    lo: int = 0
+    hi: int | None = None
 
 
 @dataclass
@@ -80,16 +84,53 @@ class Written(WriterCommitMessage):
     paths: tuple
 
 
-def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+def _begins(f, at: int, plain: bool) -> bool:
+    f.seek(at)
+    head = f.read(PROBE)
+    if plain:
+        return head.startswith(b"WARC/") and b"content-length:" in head.lower()
+    try:
+        return zlib.decompressobj(31).decompress(head).startswith(b"WARC/")
+    except zlib.error:
+        return False
+
+
+def first_record(f, at: int) -> int:
+    """Where the first record begins at byte at or later, told by its looks; the archive's size if there is none."""
+    size = f.size()
+    f.seek(0)
+    plain = f.read(2) != b"\x1f\x8b"
+    mark = b"\r\n\r\nWARC/" if plain else b"\x1f\x8b\x08"
+    skip = 4 if plain else 0
+    at -= min(skip, at)
+    while at < size:
+        f.seek(at)
+        block = f.read(1 << 20)
+        found = block.find(mark)
+        while found >= 0:
+            if _begins(f, at + found + skip, plain):
+                return at + found + skip
+            found = block.find(mark, found + 1)
+        if at + len(block) >= size:
+            break
+        at += len(block) - len(mark) + 1
+    return size
+
+
+def records(f, wanted, payload: bool, lo: int = 0, hi: int | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, payload) of the wanted records of an archive, plain or one gzip member a record.
 
+    lo and hi limit them to those that begin between these bytes. The first one is then told by its looks; whoever
+    reads up to hi knows where the next record really begins and fails if it would be told otherwise, as an archive
+    within an archive may cause.
+
     Heads are read first. A record that is not wanted, or whose payload is not, is passed over by its length: by
     Content-Length in a plain archive, by the 'sl' extra field in a compressed one; a member without that field
     has to be inflated to find its end, a buffer at a time.
     """
     size = f.size()
-    at = 0
-    while at < size:
+    at = first_record(f, lo) if lo else 0
+    while at < (size if hi is None else hi):
         f.seek(at)
         first = f.read(PROBE)
         if first[:2] != b"\x1f\x8b":
@@ -144,11 +185,18 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes |
                 block = payload_of(headers, b"".join(parts)[: int(headers.get("Content-Length", 0))])
             yield headers, block
         at += total
+    if hi is not None and hi < size:
+        f.seek(at)
+        between = f.read(PROBE)
+        at += len(between) - len(between.lstrip(b"\r\n"))
+        if first_record(f, hi) != at:
+            raise ValueError(f"a record seems to begin at byte {first_record(f, hi)} and begins at {at}: read with split=0")
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"], options.get("payload", "true") != "false"
+        self.split = int(options.get("split", SPLIT))
         self.tests: list[tuple[str, str, object]] = []
         if types := options.get("types"):
             self.tests.append(("warc_type", "in", tuple(x.strip() for x in types.split(","))))
@@ -180,6 +228,9 @@ class WarcReader(DataSourceReader):
         found = [info] if info.is_file else store.get_file_info(pafs.FileSelector(root, recursive=True))
         out, group, size = [], [], 0
         for x in sorted((x for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz")) and x.size), key=lambda x: x.path):
+            if self.split and x.size > self.split:
+                out += [Files((x.path,), lo, min(lo + self.split, x.size)) for lo in range(0, x.size, self.split)]
+                continue
             if group and size + x.size > GROUP:
                 out.append(Files(tuple(group)))
                 group, size = [], 0
@@ -193,7 +244,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path in partition.paths:
             with store.open_input_file(path) as f:
-                for headers, payload in records(f, self.wanted, self.payload):
+                for headers, payload in records(f, self.wanted, self.payload, partition.lo, partition.hi):
                     rows.append({c: headers.get(h) for c, h in FIELDS.items()} | {"block_length": int(headers.get("Content-Length", 0)), "headers": list(headers.items()), "payload": payload})
                     held += len(payload or b"") + 512
                     if held > 8 << 20:
@@ -254,7 +305,8 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Options: path; payload=false leaves payloads undecoded; types limits the record types."""
+    """Options: path; payload=false leaves payloads undecoded; types limits the record types; archives of more than
+    split bytes are read in parts of so many, 0 for none."""
 
     @classmethod
     def name(cls) -> str:

@@ -431,6 +431,31 @@ def test_warc_reads_foreign_archives(tmp_path):
             assert [(h["WARC-Record-ID"], p) for h, p in warc.records(f, lambda h: h["WARC-Type"] == "request", False)] == [("<b>", None)]
 
 
+def test_warc_reads_large_archives_in_parts(spark, tmp_path):
+    import gzip
+
+    import pyarrow.fs as pafs
+
+    rng = random.Random(2)
+    made = [warc.record({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>"}, b"x\r\n\r\ny" * rng.choice([0, 3, 400, 40_000])) for i in range(40)]
+    (tmp_path / "a.warc").write_bytes(b"".join(made))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(m) if i % 2 else warc.gzip_member(m) for i, m in enumerate(made)))
+    for name in ("a.warc", "b.warc.gz"):
+        with pafs.LocalFileSystem().open_input_file(str(tmp_path / name)) as f:
+            whole = [h["WARC-Record-ID"] for h, _ in warc.records(f, lambda h: True, True)]
+            assert whole == [f"<{i}>" for i in range(40)]
+            for step in (100, 777, f.size() // 3, f.size() + 1):
+                got = [h["WARC-Record-ID"] for lo in range(0, f.size(), step) for h, _ in warc.records(f, lambda h: True, False, lo, min(lo + step, f.size()))]
+                assert got == whole
+    nested = warc.record({"WARC-Type": "response", "WARC-Record-ID": "<in>"}, b"inner" * 50)
+    (tmp_path / "c.warc").write_bytes(warc.record({"WARC-Type": "response", "WARC-Record-ID": "<out>"}, b"-" * 300 + b"\r\n\r\n" + nested) + made[0])
+    with pafs.LocalFileSystem().open_input_file(str(tmp_path / "c.warc")) as f, pytest.raises(ValueError, match="split=0"):
+        [list(warc.records(f, lambda h: True, False, lo, min(lo + 150, f.size()))) for lo in range(0, f.size(), 150)]
+    warc.register(spark)
+    read = lambda n: sorted(r.record_id for r in spark.read.format("warc").option("split", n).load(str(tmp_path / "b.warc.gz")).collect())
+    assert read(500) == read(0) == sorted(f"<{i}>" for i in range(40))
+
+
 def test_wand_equals_exhaustive_scores():
     rng = random.Random(4)
     items = [body(rng, 3) for _ in range(60)]
