@@ -135,15 +135,31 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>")
 
 
+def _shared(full: DataFrame) -> DataFrame:
+    """Of documents (doc_id, c, set) those that may link with one of another component c.
+
+    A partner holds three quarters of a document's shingles. So these at least occur in other components; documents
+    with more of their own, such as the fillings of one form, are left out before any pair is looked at.
+    """
+    flat = full.select("doc_id", "c", F.size("set").alias("n"), F.explode("set").alias("v"))
+    both = flat.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("v", "size")
+    both = stage(both, "shared")
+    held = join_groups(flat, both, "v", "size", F.col("doc_id"), max(flat.count(), 1)).filter("size is not null")
+    out = held.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).filter(F.col("m") * DEN >= F.col("n") * NUM)
+    return stage(out.select("doc_id"), "shared-docs")
+
+
 def _dense_links(docs: DataFrame, dense: DataFrame) -> DataFrame:
     """Links across components among documents of long lists, dense (doc_id, c).
 
-    These share most values with many others, so rarity does not part them. They meet under the HEAD least hashes
-    of their whole sets (a similar pair shares none with a probability of 0.25 to the power HEAD) and are compared
-    exactly there, once a pair, under the least hash they share; only confirmed links leave the join.
+    These share most values with many others, so rarity does not part them. Those that _shared() leaves meet under
+    the HEAD least hashes of their whole sets (a similar pair shares none with a probability of 0.25 to the power
+    HEAD) and are compared exactly there, once a pair, under the least hash they share; only confirmed links leave
+    the join.
     """
     there = checked_join(docs, dense.select("doc_id"), "doc_id", "left_semi", 16)
-    full = _sets(there).join(dense, "doc_id").withColumn("head", F.slice("set", 1, HEAD))
+    whole = stage(_sets(there).join(dense, "doc_id"), "sets")
+    full = checked_join(whole, _shared(whole), "doc_id", "left_semi", 16).withColumn("head", F.slice("set", 1, HEAD))
     flat = stage(full.select("doc_id", "c", "head", "set", F.explode("head").alias("v")), "dense")
     x, y = flat.alias("x"), flat.alias("y")
     meet = "x.v = y.v and x.doc_id < y.doc_id and x.c <> y.c and least(size(x.set), size(y.set)) * 4 >= greatest(size(x.set), size(y.set)) * 3"
