@@ -15,7 +15,7 @@ from palimpsest.llm.bytesops import LOWER, U, mix, prefix, spans, texts, words
 from palimpsest.llm.features import remainder
 from palimpsest.llm.storage import stage
 
-STATES, ROUNDS = 8, 8
+STATES, ROUNDS = 8, 6
 #: Words that have a class of their own; all other words share ENDINGS classes by their last bytes.
 OWN, ENDINGS = 4000, 1024
 #: Words whose counts every task holds (16 bytes each); counts of all others are joined.
@@ -163,7 +163,9 @@ def fit(train: DataFrame, base: np.ndarray, rounds: int = ROUNDS) -> tuple[np.nd
     emits = summed(train, leaning)[STATES + STATES * STATES :].reshape(CLASSES, STATES) + 20 * base[:, None]
     model = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.02 / STATES) + 0.98 * np.eye(STATES), emits / emits.sum(0)
     for _ in range(rounds):
-        model = estimate(summed(train, lambda seqs, model=model: expected([np.frombuffer(x, np.uint16) for x in seqs], *model)), base)
+        # 32-bit probabilities do for counts; a task adds them up in 64 bits.
+        small = [x.astype(np.float32) for x in model]
+        model = estimate(summed(train, lambda seqs, small=small: expected([np.frombuffer(x, np.uint16) for x in seqs], *small)), base)
     return model
 
 
