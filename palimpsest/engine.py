@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.functions import text as X
-from palimpsest.operators import diff, evolution, graph, lines, router
+from palimpsest.operators import diff, evolution, graph, lines, retrieval, router
 from palimpsest.sources import git, tables, vectors
 from palimpsest.streaming.update import CHUNKS, CONTENTS, identified
 
@@ -184,10 +184,7 @@ class Engine:
         """The best k occurrences of each commit; every distinct content of them is scored once."""
         there = self.chunks(repo_id).filter(F.col("commit").isin(commits))
         held = vectors.read_vectors(self.spark, self._at(repo_id, "vectors"), vectors.fingerprint(self.config))
-        wanted = held.join(there.select("content_id").distinct(), "content_id", "left_semi")
-        scored = wanted.select("content_id", X.dot(F.col("vec"), F.lit(vector.astype(np.float64))).alias("score"))
-        w = Window.partitionBy("commit").orderBy(F.desc("score"), "path", "symbol", "version_id")
-        return there.join(scored, "content_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return retrieval.occurrence_top(held, there, vector, k)
 
     def search(self, repo_id: str, question: str, commit: str | None = None, k: int = 5) -> DataFrame:
         """The k occurrences of a commit that are nearest to the question, with previews of their contents."""

@@ -110,6 +110,17 @@ def dense_top_by(queries: DataFrame, corpus: DataFrame, by: str, k: int) -> Data
     return out.select("query_id", by, "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def occurrence_top(vectors: DataFrame, occurrences: DataFrame, vector: list | np.ndarray, k: int) -> DataFrame:
+    """occurrences (commit, path, symbol, version_id, content_id, ...) with score and rank: the k best of each commit.
+
+    Each distinct content that occurs is scored once, by its vector (content_id, vec); ties by path, symbol, version_id.
+    """
+    held = vectors.join(occurrences.select("content_id").distinct(), "content_id", "left_semi")
+    scored = held.select("content_id", dot(F.col("vec"), F.lit(np.asarray(vector, np.float64))).alias("score"))
+    w = Window.partitionBy("commit").orderBy(F.desc("score"), "path", "symbol", "version_id")
+    return occurrences.join(scored, "content_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def dense_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): exact dot products of a stated query set (query_id, qv) against all (doc_id, dv).
 

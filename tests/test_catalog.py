@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from palimpsest import catalog_quality as catalog
+from palimpsest import catalog_code as catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
