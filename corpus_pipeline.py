@@ -45,7 +45,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Trained models and schedules have no SQL form; tests hold each stage against a brute-force version.
+#: A trained model and a schedule have no SQL form; tests/llm holds each stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
