@@ -113,12 +113,13 @@ def span_dedup(docs: DataFrame) -> DataFrame:
     shortest run of RUN consecutive ones or more that has LEAST_WORDS words or more is hashed to 128 bits and joined
     over all documents. The run with the smallest (doc_id, row hash, position) is the first of its key; pieces that
     any other run of the key covers are removed, and the text that stays is what lies outside them. n_removed counts
-    the sentences that lose a piece or part of one. Texts that are shorter than such a run are left alone. A row is known by its doc_id
-    and a 64-bit hash of its text together. Null and empty texts have no sentences and stay empty; a null
+    the sentences that lose a piece or part of one. Texts that are shorter than such a run are left alone. A row is
+    known by its doc_id and a 64-bit hash of its text together. Null and empty texts have no sentences and stay empty; a null
     doc_id comes last; repeated rows are one row and keep or lose the same sentences.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = stage(_spans(rows).distinct(), "spans")
+    # A repeated row gives the same places again; none of them differs from the first of its key, so none goes.
+    spans = stage(_spans(rows), "spans")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "row", "at")
     groups = spans.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("size")).filter("size > 1")
     again = join_groups(spans, stage(groups, "groups"), "key", "size", F.struct("row", "at"), max(spans.count(), 1)).filter(F.col("first").isNotNull() & (F.col("first") != place))
