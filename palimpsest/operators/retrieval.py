@@ -18,6 +18,8 @@ from palimpsest.plans.spread import spread
 QUERY_BLOCK = 4096
 #: Documents of a block of scores.
 STEP = 256
+#: Pairs of a block of BM25 scores, and (query, document, term) hits summed in it, unless one document has more.
+CELLS = 1 << 18
 
 
 def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -64,8 +66,9 @@ SCORED = "query_id long, doc_id long, score double"
 
 
 def _union(parts: list[DataFrame], spark) -> DataFrame:
-    out = spark.createDataFrame([], SCORED)
-    for part in parts:
+    # Not from an empty list: that is an RDD read by Python, a second set of workers beside those that score.
+    out = parts[0] if parts else spark.range(0).select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"), F.lit(0.0).alias("score"))
+    for part in parts[1:]:
         out = out.union(part)
     return out
 
@@ -159,6 +162,15 @@ def _found(terms: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
     return cell // max(len(terms), 1), cell % max(len(terms), 1), tf
 
 
+def _steps(hits: np.ndarray, queries: int) -> Iterator[tuple[int, int]]:
+    """First and end document of blocks of scores; hits: how many stand before each document, and in all."""
+    lo, n = 0, len(hits) - 1
+    while lo < n:
+        hi = min(n, lo + max(1, min(STEP, CELLS // queries)), max(lo + 1, int(np.searchsorted(hits, hits[lo] + CELLS, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
 def _corpus_counts(corpus: DataFrame, terms: np.ndarray) -> tuple[int, float, np.ndarray]:
     """Documents, their mean length in tokens, and how many hold each of the terms, in one scan."""
 
@@ -204,15 +216,17 @@ def bm25_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b:
                     d, t, tf = _found(terms, h, doc)
                     dl = np.bincount(doc, minlength=hi - lo)
                     w = idf[t] * tf / (tf + k1 * (1 - b + b * dl[d] / (avg or 1.0)))
-                    for first in range(0, hi - lo, STEP):
-                        a, z = np.searchsorted(d, (first, first + STEP))
+                    of = np.searchsorted(d, np.arange(hi - lo + 1))
+                    hits = np.concatenate(([0], np.cumsum(width[t])))[of]
+                    for first, end in _steps(hits, len(names)):
+                        a, z = of[first], of[end]
                         m = width[t[a:z]]
                         at = np.repeat(offs[t[a:z]] - np.cumsum(m) + m, m) + np.arange(m.sum())
                         cell = np.repeat(d[a:z] - first, m) * len(names) + query[at]
-                        size = (min(hi - lo, first + STEP) - first) * len(names)
+                        size = (end - first) * len(names)
                         score = np.bincount(cell, weights=np.repeat(w[a:z], m) * qtf[at], minlength=size).reshape(-1, len(names))
                         there = np.bincount(cell, minlength=size).reshape(-1, len(names)) > 0
-                        best.add(np.round(score, 6), ids[lo + first : lo + first + len(score)], there)
+                        best.add(np.round(score, 6), ids[lo + first : lo + end], there)
             yield best.batch(names)
 
         found.append(docs.filter("doc_id is not null").mapInArrow(run, SCORED))

@@ -210,3 +210,59 @@ def test_ranking_in_scans_equals_plain_scores(spark):
     best = lambda f: sorted(((i % 7) + 2.0 * (i % 3) if f == 1 else 0.0, i) for i in range(50))[::-1][:8]
     assert {(r.query_id, r.rank): (r.score, r.doc_id) for r in retrieval.dense_top(v, e, 8).collect()} == {(f, k + 1): x for f in (1, 2) for k, x in enumerate(best(f))}
     assert retrieval.dense_top(v.limit(0), e, 3).count() == 0
+
+
+def test_tokens_in_pieces(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from palimpsest.functions import postings
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aB_9 .\u00e9", (9, 9, 1, 3, 4, 1, 1), k=rng.randrange(0, 40))) for _ in range(3000)] + [None, "", "x" * 50, "y" * 49 + " ", None]
+    got = lambda: [(lo + int(d), int(x)) for lo, _, h, doc in postings.tokens(pa.array(texts, pa.string()).slice(3)) for x, d in zip(h, doc, strict=True)]
+    want = got()
+    for piece in (1, 7, 48):
+        monkeypatch.setattr(postings, "PIECE", piece)
+        assert got() == want
+    monkeypatch.undo()
+    long = pa.array(["twelve_bytes " * 700_000], pa.string())
+    tracemalloc.start()
+    n = sum(len(h) for _, _, h, _ in postings.tokens(long))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 700_000 and peak < 70e6  # 8 bytes and more for each byte of the text before
+
+
+def test_memory_of_bm25_does_not_grow_with_queries(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    q = spark.createDataFrame([(i, " ".join(rng.sample(words, 30))) for i in range(1000)], "query_id long, text string")
+    docs = [(i, " ".join(rng.choices(words, k=150))) for i in range(256)]
+    runs, plain = [], type(q).mapInArrow
+    monkeypatch.setattr(type(q), "mapInArrow", lambda self, f, *a, **k: (runs.append(f), plain(self, f, *a, **k))[1])
+    top = retrieval.bm25_top(q, spark.createDataFrame(docs, "doc_id long, text string"), 3)
+    ids, texts = map(list, zip(*docs, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    tracemalloc.start()
+    one = retrieval_rows(runs[-1]([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all hits of 256 documents at once before
+    monkeypatch.setattr(retrieval, "CELLS", 1)
+    assert retrieval_rows(runs[-1]([batch])) == one == {(r.query_id, r.doc_id, r.score) for r in top.collect()}
+    # No RDD that Python reads stands beside the scans: it would have a second set of workers.
+    v = spark.range(3).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("qv"))
+    d = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("w1 w2").alias("text"))
+    for df in (retrieval.bm25_top(q, d, 3), retrieval.bm25_top(q.limit(0), d, 3), retrieval.dense_top(v, v.toDF("doc_id", "dv"), 2)):
+        assert "RDD" not in df._jdf.queryExecution().toString() and df.columns == ["query_id", "doc_id", "score", "rank"]
+        assert [x for _, x in df.dtypes] == ["bigint", "bigint", "double", "int"]
+
+
+def retrieval_rows(batches):
+    return {tuple(r.values()) for b in batches for r in b.to_pylist()}
